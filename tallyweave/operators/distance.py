@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.operators.rarefaction import rarefy
+from tallyweave.session import spread
 
 _ROWS_PER_TILE = 2_000_000
 
@@ -129,7 +130,8 @@ def shared_counts(
             "_side": (F.col("_block") > F.col("_other")).cast("tinyint"),
         }
     ).drop("_block", "_other")
-    tiled = rows.groupBy(*keys, "_x", "_y", "_slice").applyInPandas(_shared_counts(keys, True), _tile_schema(abund, keys))
+    by = [*keys, "_x", "_y", "_slice"]
+    tiled = spread(rows, *by).groupBy(*by).applyInPandas(_shared_counts(keys, True), _tile_schema(abund, keys))
     return _merge_slices(tiled, slices, keys)
 
 
@@ -158,7 +160,8 @@ def bray_curtis_between(abund: DataFrame, left: DataFrame, right: DataFrame, blo
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nx - 1).cast("bigint"))).alias("_x"),
         F.lit(1).cast("tinyint").alias("_side"),
     )
-    tiled = a.unionByName(b).groupBy("_x", "_y", "_slice").applyInPandas(_shared_counts([], False), _tile_schema(abund, []))
+    by = ["_x", "_y", "_slice"]
+    tiled = spread(a.unionByName(b), *by).groupBy(*by).applyInPandas(_shared_counts([], False), _tile_schema(abund, []))
     return _dissimilarity(_merge_slices(tiled, slices, []), [])
 
 

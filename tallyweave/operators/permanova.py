@@ -11,24 +11,22 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.draws import draw_key
 from tallyweave.functions.ranking import bonferroni, pairs_of_groups
+from tallyweave.session import checkpointed, spread
 
 
-def _permuted_labels(members: DataFrame, permutations: int, seed, per_array: int) -> DataFrame:
-    """``(comparison, sample_id, perm_block, codes)``; permutation 0 is the observed labelling."""
-    by = Window.partitionBy("comparison")
-    slots = members.select(
-        "comparison",
-        "sample_id",
-        F.row_number().over(by.orderBy("sample_id")).alias("pos"),
-        F.dense_rank().over(by.orderBy("grp")).alias("code"),
-    )
-    perms = slots.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    shuffled = F.row_number().over(Window.partitionBy("comparison", "perm").orderBy(draw_key(seed, "perm", "sample_id")))
-    placed = perms.filter(F.col("perm") > 0).select("comparison", "sample_id", "perm", shuffled.alias("pos"))
-    placed = placed.join(slots.select("comparison", "pos", "code"), ["comparison", "pos"])
-    labels = perms.filter(F.col("perm") == 0).select("comparison", "sample_id", "perm", "code").unionByName(
-        placed.select("comparison", "sample_id", "perm", "code")
-    )
+def _permuted_labels(members: DataFrame, sizes: DataFrame, permutations: int, seed, per_array: int) -> DataFrame:
+    """``(comparison, sample_id, perm_block, codes)``; permutation 0 is the observed labelling.
+
+    A permutation orders the samples of a comparison at random and deals out the labels in group order, so a label
+    follows from the sample's rank and the running group sizes.
+    """
+    by = Window.partitionBy("comparison").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sizes.withColumn("end", F.sum("n_g").over(by)).groupBy("comparison").agg(F.array_sort(F.collect_list("end")).alias("ends"))
+    known = members.join(sizes.select("comparison", "grp", "code"), ["comparison", "grp"]).join(ends, "comparison")
+    perms = spread(known, "comparison", "sample_id").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    rank = F.row_number().over(Window.partitionBy("comparison", "perm").orderBy(draw_key(seed, "perm", "sample_id")))
+    dealt = F.size(F.filter("ends", lambda e: e < F.col("rank"))) + 1
+    labels = perms.withColumn("rank", rank).withColumn("code", F.when(F.col("perm") == 0, F.col("code")).otherwise(dealt))
     block = F.floor(F.col("perm") / F.lit(per_array)).cast("int")
     in_order = F.array_sort(F.collect_list(F.struct("perm", "code")))
     return labels.groupBy("comparison", "sample_id", block.alias("perm_block")).agg(
@@ -83,7 +81,9 @@ def permanova(
     block and meet blocks of permuted labels; the sums per (permutation, label) are added up over the tiles.
     """
     members = members.select(F.col("comparison").cast("string").alias("comparison"), "sample_id", F.col("grp").cast("string").alias("grp"))
+    members = checkpointed(members)
     sizes = members.groupBy("comparison", "grp").agg(F.count(F.lit(1)).alias("n_g"))
+    sizes = sizes.withColumn("code", F.row_number().over(Window.partitionBy("comparison").orderBy("grp")))
     overall = sizes.groupBy("comparison").agg(F.sum("n_g").alias("n"), F.count(F.lit(1)).alias("g"))
     largest = overall.agg(F.max("n")).first()[0] or 1
     blocks = max(1, math.ceil(largest / block))
@@ -100,7 +100,7 @@ def permanova(
     tiles = pairs.withColumns({"x": place("sample_a"), "y": place("sample_b")}).withColumn(
         "perm_block", F.explode(F.sequence(F.lit(0), F.lit(perm_blocks - 1)))
     )
-    labels = _permuted_labels(members, permutations, seed, per_array).withColumn("own", place("sample_id"))
+    labels = _permuted_labels(members, sizes, permutations, seed, per_array).withColumn("own", place("sample_id"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     spots = F.array_union(
         F.transform(every, lambda k: F.struct(F.col("own").alias("x"), k.alias("y"))),
@@ -115,15 +115,17 @@ def permanova(
         "codes",
     )
     sums = (
-        tiles.groupBy("comparison", "x", "y", "perm_block")
-        .cogroup(labels.groupBy("l_comparison", "l_x", "l_y", "l_block"))
+        spread(tiles, "comparison", "x", "y", "perm_block")
+        .groupBy("comparison", "x", "y", "perm_block")
+        .cogroup(
+            spread(labels, "l_comparison", "l_x", "l_y", "l_block").groupBy("l_comparison", "l_x", "l_y", "l_block")
+        )
         .applyInPandas(_within_sums(per_array), "comparison string, perm int, code int, ss double")
     )
-    coded = sizes.withColumn("code", F.row_number().over(Window.partitionBy("comparison").orderBy("grp")))
     within = (
         sums.groupBy("comparison", "perm", "code")
         .agg(F.sum("ss").alias("ss"))
-        .join(coded.select("comparison", "code", "n_g"), ["comparison", "code"])
+        .join(sizes.select("comparison", "code", "n_g"), ["comparison", "code"])
         .groupBy("comparison", "perm")
         .agg(F.sum(F.col("ss") / F.col("n_g")).alias("ssw"))
     )
@@ -132,22 +134,20 @@ def permanova(
     ssa = F.col("sst") - F.col("ssw")
     f = F.try_divide(ssa / (F.col("g") - 1), F.col("ssw") / (F.col("n") - F.col("g")))
     stats = within.join(total, "comparison").withColumn("f", F.round(f, 9))
-    observed = F.max(F.when(F.col("perm") == 0, F.col("f")))
-    collected = stats.groupBy("comparison").agg(
-        observed.alias("f_model"),
-        F.max(F.when(F.col("perm") == 0, ssa)).alias("sums_of_sqs"),
-        F.max(F.when(F.col("perm") == 0, ssa / F.col("sst"))).alias("r2"),
-        F.max(F.col("g") - 1).alias("df"),
-    )
-    beaten = (
-        stats.filter(F.col("perm") > 0)
-        .join(collected.select("comparison", "f_model"), "comparison")
-        .groupBy("comparison")
-        .agg(F.count_if(F.col("f") >= F.col("f_model")).alias("as_large"))
-    )
-    p = (F.lit(1) + F.coalesce(F.col("as_large"), F.lit(0))) / F.lit(float(permutations + 1))
-    return collected.join(beaten, "comparison", "left").select(
-        "comparison", "df", "sums_of_sqs", "f_model", "r2", (p if permutations else F.lit(None).cast("double")).alias("p_value")
+    # a comparison has one row per permutation here
+    first = F.max(F.when(F.col("perm") == 0, F.col("f"))).over(Window.partitionBy("comparison"))
+    as_large = F.count_if((F.col("perm") > 0) & (F.col("f") >= F.col("f_model")))
+    p = (F.lit(1) + as_large) / F.lit(float(permutations + 1))
+    observed = F.col("perm") == 0
+    return (
+        stats.withColumn("f_model", first)
+        .groupBy("comparison", "f_model")
+        .agg(
+            F.max(F.col("g") - 1).alias("df"),
+            F.max(F.when(observed, ssa)).alias("sums_of_sqs"),
+            F.max(F.when(observed, ssa / F.col("sst"))).alias("r2"),
+            (p if permutations else F.lit(None).cast("double")).alias("p_value"),
+        )
     )
 
 
@@ -184,7 +184,7 @@ def stars(p: str) -> Column:
 def pairwise_permanova(dist: DataFrame, meta: DataFrame, *group: str, permutations: int = 999, seed: int | str = 1) -> DataFrame:
     """A permutation test for every pair of groups, with Bonferroni-adjusted p-values over all pairs."""
     pairs, members = pairwise_members(meta, *group)
-    tested = permanova(dist, members, permutations, seed)
+    tested = checkpointed(permanova(dist, members, permutations, seed))
     out = bonferroni(tested, "p_value", out="p_adjusted").withColumn("sig", stars("p_adjusted"))
     return pairs.join(out, "comparison").withColumnRenamed("comparison", "pairs")
 

@@ -139,7 +139,7 @@ def j8(spark, sf):
 def _permanova_sql(members: str, permutations: int, seed: str) -> str:
     """``members(comparison, sample_id, grp)`` and ``dist`` must be defined before."""
     return f""", members AS ({members}),
-    slots AS (SELECT *, row_number() OVER (PARTITION BY comparison ORDER BY sample_id) AS pos FROM members),
+    slots AS (SELECT *, row_number() OVER (PARTITION BY comparison ORDER BY grp, sample_id) AS pos FROM members),
     perms AS (SELECT s.comparison, s.sample_id, p.perm, row_number() OVER (PARTITION BY s.comparison, p.perm
        ORDER BY md5('{seed}/' || p.perm || '/' || s.sample_id)) AS pos
        FROM slots s, range(1, {permutations + 1}) p(perm)),
@@ -199,7 +199,7 @@ def _pairwise(spark, sf):
     out = permanova.pairwise_permanova(
         _course_dist(spark, sf), standin.course_meta(spark, sf), "room", "day", permutations=99, seed=6
     )
-    return out
+    return checkpointed(out)
 
 
 @query(

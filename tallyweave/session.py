@@ -55,3 +55,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise to the reliable checkpoint folder and cut the lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash rows over all shuffle partitions.
+
+    For steps that do much work per input byte (row fan-out, numeric tiles): their input is small, and without a fixed
+    partition number adaptive execution would merge it into very few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
