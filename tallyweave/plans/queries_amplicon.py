@@ -1 +1,178 @@
+"""Queries over reads. Amplicons are the nucleotide letters of whole document sentences."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyweave.functions.columns import null_unclassified
+from tallyweave.operators import amplicon as A
+from tallyweave.plans import standin
+from tallyweave.plans.registry import query
+from tallyweave.plans.standin import table, with_
+
+
+def _r(df, digits, *names):
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+@query(
+    "r1_quality_profile",
+    with_("reads")
+    + """ SELECT sample_id, mate, cycle, count(*) AS reads, round(avg(q), 7) AS mean_q, quantile_cont(q, 0.25) AS q25,
+    quantile_cont(q, 0.5) AS q50, quantile_cont(q, 0.75) AS q75
+    FROM (SELECT sample_id, mate, CAST(unnest(range(1, len(qual) + 1)) AS INTEGER) AS cycle, unnest(qual) AS q FROM reads) GROUP BY 1, 2, 3""",
+)
+def r1(spark, sf):
+    return _r(A.quality_profile(standin.reads(spark, sf)), 7, "mean_q")
+
+
+def _contaminant(spark, sf):
+    text = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
+    return table(spark, sf, "benchmark").select(text.alias("seq"))
+
+
+_FILTERED = with_("reads") + """, t0 AS (SELECT *, list_position(list_transform(qual, lambda q: q <= 2), true) AS low FROM reads),
+    t1 AS (SELECT *, CASE WHEN low > 0 THEN low - 1 ELSE length(seq) END AS size, CASE mate WHEN 1 THEN 9 ELSE 8 END AS target FROM t0),
+    t2 AS (SELECT sample_id, read_id, mate, substr(seq, 1, target) AS seq, qual[1:target] AS qual FROM t1 WHERE size > 0 AND size >= target),
+    t3 AS (SELECT * FROM t2 WHERE list_sum(list_transform(qual, lambda q: pow(10.0e0, q / -10.0e0))) <= CASE mate WHEN 1 THEN 1.5e0 ELSE 2.0e0 END),
+    bk AS (SELECT DISTINCT substr(seq, CAST(i AS INTEGER), 8) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 6)) AS i
+      FROM (SELECT regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM benchmark))),
+    rk AS (SELECT DISTINCT sample_id, read_id, mate, substr(seq, CAST(i AS INTEGER), 8) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - 6)) AS i FROM t3)),
+    bad AS (SELECT DISTINCT sample_id, read_id FROM (SELECT sample_id, read_id, mate, count(*) AS c FROM rk JOIN bk USING (kmer) GROUP BY 1, 2, 3) WHERE c >= 2),
+    t4 AS (SELECT t3.* FROM t3 WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.sample_id = t3.sample_id AND bad.read_id = t3.read_id)),
+    kept AS (SELECT * FROM t4 WHERE (sample_id, read_id) IN (SELECT (sample_id, read_id) FROM t4 GROUP BY sample_id, read_id HAVING count(*) = 2))"""
+
+
+@query(
+    "r2_filter_and_trim",
+    _FILTERED + " SELECT sample_id, read_id, mate, seq, array_to_string(qual, ' ') AS quals FROM kept",
+)
+def r2(spark, sf):
+    out = A.filter_and_trim(
+        standin.reads(spark, sf), {1: 9, 2: 8}, {1: 1.5, 2: 2.0}, contaminant=_contaminant(spark, sf), contaminant_k=8
+    )
+    return out.select("sample_id", "read_id", "mate", "seq", F.array_join(F.col("qual").cast("array<string>"), " ").alias("quals"))
+
+
+_UNIQUES = with_("amplicon") + ", u AS (SELECT sample_id, seq, count(*) AS count FROM amplicon GROUP BY 1, 2)"
+
+
+def _uniques(spark, sf):
+    return A.dereplicate(standin.amplicon(spark, sf))
+
+
+@query("r3_dereplicate", _UNIQUES + " SELECT * FROM u")
+def r3(spark, sf):
+    return _uniques(spark, sf)
+
+
+_PARENTS = """, pool AS (SELECT seq, CAST(sum(count) AS BIGINT) AS n, length(seq) AS len FROM u GROUP BY 1),
+    cand AS (SELECT c.seq, p.seq AS parent, row_number() OVER (PARTITION BY c.seq ORDER BY p.n DESC, p.seq) AS rk
+      FROM pool c JOIN pool p ON p.len = c.len AND p.n >= 2 * c.n WHERE hamming(c.seq, p.seq) = 1),
+    parents AS (SELECT seq, parent FROM cand WHERE rk = 1)"""
+
+
+@query(
+    "r4_error_rates",
+    with_("reads")
+    + ", fwd AS (SELECT * FROM reads WHERE mate = 1), u AS (SELECT sample_id, seq, count(*) AS count FROM fwd GROUP BY 1, 2)"
+    + _PARENTS
+    + """ SELECT ref, obs, q, count(*) AS n FROM (SELECT unnest(string_split(coalesce(parent, seq), '')) AS ref,
+      unnest(string_split(seq, '')) AS obs, unnest(qual) AS q FROM fwd LEFT JOIN parents USING (seq)) GROUP BY 1, 2, 3""",
+)
+def r4(spark, sf):
+    return A.error_rates(standin.reads(spark, sf).filter(F.col("mate") == 1))
+
+
+@query(
+    "r5_denoise",
+    _UNIQUES + _PARENTS
+    + " SELECT sample_id, coalesce(parent, seq) AS seq, CAST(sum(count) AS BIGINT) AS count FROM u LEFT JOIN parents USING (seq) GROUP BY 1, 2",
+)
+def r5(spark, sf):
+    return A.denoise(_uniques(spark, sf))
+
+
+_MERGED = with_("reads") + """, pr AS (SELECT a.sample_id, a.read_id, a.seq AS f, reverse(translate(b.seq, 'ACGT', 'TGCA')) AS r
+      FROM reads a JOIN reads b ON a.sample_id = b.sample_id AND a.read_id = b.read_id AND a.mate = 1 AND b.mate = 2),
+    ov AS (SELECT *, list_max(list_filter(range(12, least(length(f), length(r)) + 1),
+      lambda o: right(f, CAST(o AS INTEGER)) = left(r, CAST(o AS INTEGER)))) AS overlap FROM pr),
+    merged AS (SELECT sample_id, read_id, f || substr(r, CAST(overlap AS INTEGER) + 1) AS seq, CAST(overlap AS INTEGER) AS overlap FROM ov WHERE overlap IS NOT NULL)"""
+
+
+@query("r6_merge_pairs", _MERGED + " SELECT * FROM merged")
+def r6(spark, sf):
+    return A.merge_pairs(standin.reads(spark, sf))
+
+
+@query("r7_sequence_table", _MERGED + " SELECT sample_id, seq, count(*) AS count FROM merged GROUP BY 1, 2")
+def r7(spark, sf):
+    return A.dereplicate(A.merge_pairs(standin.reads(spark, sf)))
+
+
+_FLAGS = _UNIQUES + """, w AS (SELECT sample_id, seq, count AS n, length(seq) AS len FROM u),
+    pp AS (SELECT c.sample_id, c.seq, c.len, p.seq AS parent,
+       (SELECT count(*) FROM range(1, c.len) t(i) WHERE i <= p.len AND left(c.seq, CAST(i AS INTEGER)) = left(p.seq, CAST(i AS INTEGER))) AS lcp,
+       (SELECT count(*) FROM range(1, c.len) t(i) WHERE i <= p.len AND right(c.seq, CAST(i AS INTEGER)) = right(p.seq, CAST(i AS INTEGER))) AS lcs
+       FROM w c JOIN w p ON p.sample_id = c.sample_id AND p.seq <> c.seq AND p.n >= 2 * c.n),
+    hit AS (SELECT DISTINCT a.sample_id, a.seq FROM pp a JOIN pp b ON a.sample_id = b.sample_id AND a.seq = b.seq AND a.parent <> b.parent
+       WHERE a.lcp >= 1 AND b.lcs >= 1 AND a.lcp + b.lcs >= a.len)"""
+
+
+@query(
+    "r8_chimera_flags",
+    _FLAGS + " SELECT w.sample_id, w.seq, hit.seq IS NOT NULL AS chimeric FROM w LEFT JOIN hit ON w.sample_id = hit.sample_id AND w.seq = hit.seq",
+)
+def r8(spark, sf):
+    return A.chimera_flags(_uniques(spark, sf))
+
+
+@query(
+    "r8_remove_chimeras",
+    _FLAGS
+    + """, votes AS (SELECT w.seq, count(hit.seq) AS flagged, count(*) AS samples FROM w LEFT JOIN hit ON w.sample_id = hit.sample_id AND w.seq = hit.seq GROUP BY 1)
+    SELECT * FROM u WHERE seq NOT IN (SELECT seq FROM votes WHERE flagged > 0 AND (flagged >= samples OR flagged >= (samples - 1) * 0.9))""",
+)
+def r8_remove(spark, sf):
+    return A.remove_chimeras(_uniques(spark, sf))
+
+
+_CLASSIFY = """WITH rk AS (SELECT DISTINCT lineage, substr(text, CAST(i AS INTEGER), 8) AS kmer FROM
+      (SELECT lang || ';' || source AS lineage, text, unnest(range(1, length(text) - 6)) AS i FROM documents)),
+    lt AS (SELECT count(DISTINCT lang || ';' || source) AS t FROM documents),
+    wt AS (SELECT kmer, CAST(round(1000.0e0 * ln(any_value(t) / CAST(count(*) AS DOUBLE))) AS BIGINT) AS weight FROM rk, lt GROUP BY 1),
+    qk AS (SELECT DISTINCT id, substr(text, CAST(i AS INTEGER), 8) AS kmer FROM
+      (SELECT conv_id || '.' || turn AS id, text, unnest(range(1, length(text) - 6)) AS i FROM conversations)),
+    sc AS (SELECT id, CAST('0x' || substr(md5('1/' || kmer), 1, 8) AS BIGINT) % 20 AS subset, lineage, sum(weight) AS score
+      FROM qk JOIN rk USING (kmer) JOIN wt USING (kmer) WHERE weight > 0 GROUP BY 1, 2, 3),
+    wn AS (SELECT id, subset, lineage, row_number() OVER (PARTITION BY id, subset ORDER BY score DESC, lineage) AS rk FROM sc),
+    vo AS (SELECT id, lineage, count(*) AS votes FROM wn WHERE rk = 1 GROUP BY 1, 2),
+    be AS (SELECT id, lineage AS best FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, lineage) AS rk FROM vo) WHERE rk = 1),
+    sh AS (SELECT id, best, sum(CASE WHEN split_part(lineage, ';', 1) = split_part(best, ';', 1) THEN votes ELSE 0 END) / 20.0e0 AS lang_confidence,
+      sum(CASE WHEN lineage = best THEN votes ELSE 0 END) / 20.0e0 AS source_confidence FROM vo JOIN be USING (id) GROUP BY 1, 2)
+    SELECT id, CASE WHEN lang_confidence >= 0.6e0 THEN split_part(best, ';', 1) ELSE 'unclassified_root' END AS lang,
+    CASE WHEN source_confidence >= 0.6e0 THEN split_part(best, ';', 2) ELSE 'unclassified_' || split_part(best, ';', 1) END AS source,
+    lang_confidence, source_confidence FROM sh"""
+
+
+def _classified(spark, sf):
+    asked = table(spark, sf, "conversations").select(
+        F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("seq")
+    )
+    known = table(spark, sf, "documents").select("lang", "source", F.col("text").alias("seq"))
+    return A.classify(asked, known, ["lang", "source"])
+
+
+@query("r9_classify", _CLASSIFY)
+def r9(spark, sf):
+    return _classified(spark, sf)
+
+
+@query(
+    "r10_unclassified",
+    "SELECT id, nullif(lang, 'unclassified_root') AS lang, CASE WHEN NOT starts_with(source, 'unclassified_') THEN source END AS source FROM ("
+    + _CLASSIFY + ") WHERE starts_with(source, 'unclassified_')",
+)
+def r10(spark, sf):
+    out = _classified(spark, sf).withColumns({"lang": null_unclassified("lang"), "source": null_unclassified("source")})
+    return out.filter(F.col("source").isNull()).select("id", "lang", "source")
