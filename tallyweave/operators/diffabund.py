@@ -283,9 +283,9 @@ def profiles(values: DataFrame, meta: DataFrame, group: str, time: str, cells: S
 
 def pattern_clusters(profile: DataFrame, k: int = 6, min_size: int = 5, seed: int = 1) -> DataFrame:
     """Features of similar profile; clusters with fewer than ``min_size`` features are dropped."""
-    vectors = profile.withColumn("features", array_to_vector("profile"))
+    vectors = checkpointed(profile).withColumn("features", array_to_vector("profile"))
     model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
-    found = model.transform(vectors).select("feature_id", "profile", "cluster")
+    found = checkpointed(model.transform(vectors).select("feature_id", "profile", "cluster"))
     large = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
     return found.join(large, "cluster")
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from tallyweave.countset import CountSet
 from tallyweave.operators import diffabund, distance, diversity, models, ordination, permanova, rarefaction
+from tallyweave.session import checkpointed
+
+
+PARTS = ("ordination", "permanova", "alpha", "alpha_model", "differential")
 
 
 def explore(
@@ -19,8 +23,9 @@ def explore(
     seed: int = 1,
     alpha: float | None = 0.05,
     min_lfc: float = 0.5,
+    parts: Sequence[str] = PARTS,
 ) -> dict[str, DataFrame]:
-    """Results keyed by name.
+    """Results keyed by name; ``parts`` picks which ones to compute.
 
     ``ordination``    rarefied samples on two axes with the centre of their group
     ``permanova``     every pair of levels on distances of unrarefied counts
@@ -29,18 +34,20 @@ def explore(
     ``differential``  one block of features per non-reference level, shrunken, annotated and filtered
     """
     cs = cs.keep_samples(F.col(variable).isin(list(levels)))
-    axes = ["axis1", "axis2"]
-    points = ordination.ordinate(rarefaction.rarefy(cs.abund, seed=f"{seed}/ordination"))
-    points = points.join(cs.meta, "sample_id")
-    alpha_table = diversity.richness(rarefaction.rarefy(cs.abund, seed=f"{seed}/alpha")).join(cs.meta, "sample_id", "left")
-    design, names = diffabund.factor_design(cs.meta, variable, levels)
-    tested = diffabund.shrink(diffabund.wald_tests(cs.abund, design, names))
-    return {
-        "ordination": ordination.centroids(points, [variable], axes),
-        "permanova": permanova.pairwise_permanova(
-            distance.bray_curtis(cs.abund), cs.meta, variable, permutations=permutations, seed=seed
-        ),
-        "alpha": alpha_table,
-        "alpha_model": models.one_way(alpha_table, "shannon", variable, levels),
-        "differential": diffabund.annotate(tested, cs.tax, alpha, min_lfc, "log2fc_shrunk"),
-    }
+    cs = CountSet(checkpointed(cs.abund), cs.meta, cs.tax)
+    out: dict[str, DataFrame] = {}
+    if "ordination" in parts:
+        points = ordination.ordinate(rarefaction.rarefy(cs.abund, seed=f"{seed}/ordination"))
+        out["ordination"] = ordination.centroids(points.join(cs.meta, "sample_id"), [variable], ["axis1", "axis2"])
+    if "permanova" in parts:
+        dist = checkpointed(distance.bray_curtis(cs.abund))
+        out["permanova"] = permanova.pairwise_permanova(dist, cs.meta, variable, permutations=permutations, seed=seed)
+    if "alpha" in parts or "alpha_model" in parts:
+        thin = rarefaction.rarefy(cs.abund, seed=f"{seed}/alpha")
+        out["alpha"] = diversity.richness(thin).join(cs.meta, "sample_id", "left")
+        out["alpha_model"] = models.one_way(out["alpha"], "shannon", variable, levels)
+    if "differential" in parts:
+        design, names = diffabund.factor_design(cs.meta, variable, levels)
+        tested = diffabund.shrink(diffabund.wald_tests(cs.abund, design, names))
+        out["differential"] = diffabund.annotate(tested, cs.tax, alpha, min_lfc, "log2fc_shrunk")
+    return {name: out[name] for name in PARTS if name in parts}

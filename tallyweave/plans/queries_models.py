@@ -235,6 +235,16 @@ def m8_limits(spark, sf):
 
 # -- counts -------------------------------------------------------------------------------------------------------
 
+_NATION = """, nation_counts AS (SELECT CAST(s_nationkey AS VARCHAR) AS sample_id, feature_id, CAST(sum(count) AS BIGINT) AS count
+    FROM dense JOIN supplier ON CAST(s_suppkey AS VARCHAR) = sample_id GROUP BY 1, 2)"""
+
+
+def _nation_counts(spark, sf):
+    home = standin.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("sample_id"), "s_nationkey")
+    joined = standin.dense(spark, sf).join(home, "sample_id")
+    return joined.groupBy(F.col("s_nationkey").cast("string").alias("sample_id"), "feature_id").agg(F.sum("count").alias("count"))
+
+
 _RATIO = """, n AS (SELECT count(DISTINCT sample_id) AS n FROM {t}),
     g AS (SELECT feature_id, sum(ln(count)) / any_value(n) AS lg, count(*) AS seen, any_value(n) AS n FROM {t}, n GROUP BY 1),
     sf AS (SELECT sample_id, quantile_cont(ln(count) - lg, 0.5) AS lf FROM {t} JOIN g USING (feature_id) WHERE {cond} GROUP BY 1)"""
@@ -242,10 +252,13 @@ _RATIO = """, n AS (SELECT count(DISTINCT sample_id) AS n FROM {t}),
 
 @query(
     "m5_size_factors",
-    with_("course") + _RATIO.format(t="course", cond="seen = n") + " SELECT sample_id, round(exp(lf), 9) AS size_factor FROM sf",
+    with_("dense") + _NATION
+    + _RATIO.format(t="nation_counts", cond="seen = n OR NOT EXISTS (SELECT 1 FROM g x WHERE x.seen = x.n)")
+    + """ SELECT sample_id, round(exp(lf - CASE WHEN EXISTS (SELECT 1 FROM g WHERE seen = n) THEN 0 ELSE (SELECT avg(lf) FROM sf) END), 9)
+    AS size_factor FROM sf""",
 )
 def m5(spark, sf):
-    return _r(diffabund.size_factors(standin.course(spark, sf), "ratio"), 9, "size_factor")
+    return _r(diffabund.size_factors(_nation_counts(spark, sf)), 9, "size_factor")
 
 
 @query(
@@ -259,12 +272,12 @@ def m5_pos(spark, sf):
 
 @query(
     "m13_stabilised",
-    with_("course") + _RATIO.format(t="course", cond="seen = n")
-    + " SELECT sample_id, feature_id, round(log2(count / exp(lf) + 0.5e0), 7) AS value FROM course JOIN sf USING (sample_id)",
+    with_("course") + _RATIO.format(t="course", cond="true")
+    + " SELECT sample_id, feature_id, round(log2(count / exp(lf - (SELECT avg(lf) FROM sf)) + 0.5e0), 7) AS value FROM course JOIN sf USING (sample_id)",
 )
 def m13(spark, sf):
     abund = standin.course(spark, sf)
-    return _r(diffabund.stabilised(abund, diffabund.size_factors(abund, "ratio")), 7, "value")
+    return _r(diffabund.stabilised(abund, diffabund.size_factors(abund, "poscounts")), 7, "value")
 
 
 def _wald(spark, sf):
@@ -310,14 +323,14 @@ _TIME_CELLS = [(r, d) for r in ("R0", "R1") for d in range(7)]
 
 def _profiles(spark, sf):
     abund = standin.course(spark, sf)
-    values = diffabund.stabilised(abund, diffabund.size_factors(abund, "ratio"))
+    values = diffabund.stabilised(abund, diffabund.size_factors(abund, "poscounts"))
     return diffabund.profiles(values, standin.course_meta(spark, sf), "room", "day", _TIME_CELLS)
 
 
 @query(
     "m14_profiles",
-    with_("course", "course_meta") + _RATIO.format(t="course", cond="seen = n")
-    + """, v AS (SELECT sample_id, feature_id, log2(count / exp(lf) + 0.5e0) AS value FROM course JOIN sf USING (sample_id)),
+    with_("course", "course_meta") + _RATIO.format(t="course", cond="true")
+    + """, v AS (SELECT sample_id, feature_id, log2(count / exp(lf - (SELECT avg(lf) FROM sf)) + 0.5e0) AS value FROM course JOIN sf USING (sample_id)),
     cs AS (SELECT room, day, count(*) AS n FROM course_meta WHERE room IN ('R0', 'R1') GROUP BY 1, 2),
     nz AS (SELECT feature_id, room, day, count(*) AS k, sum(value) AS s FROM v JOIN course_meta USING (sample_id) WHERE room IN ('R0', 'R1') GROUP BY 1, 2, 3),
     m AS (SELECT f.feature_id, cs.room, cs.day, (coalesce(s, 0) - (cs.n - coalesce(k, 0))) / cs.n AS m
@@ -360,34 +373,34 @@ def m15(spark, sf):
 # -- composites ---------------------------------------------------------------------------------------------------
 
 
-def _explored(spark, sf):
+def _explored(spark, sf, part):
     cs = CountSet.aligned(
         standin.dense(spark, sf),
         standin.meta(spark, sf),
         standin.tax_dense(spark, sf),
     )
-    return explore(cs, "grp", ["R2", "R3", "R4"], permutations=99, alpha=None)
+    return explore(cs, "grp", ["R2", "R3", "R4"], permutations=99, alpha=None, parts=[part])[part]
 
 
 @query("m17_explore_differential")
 def m17_differential(spark, sf):
-    out = _explored(spark, sf)["differential"]
+    out = _explored(spark, sf, "differential")
     return _r(out.select("feature_id", "coefficient", "log2fc_shrunk", "padj", "enriched_in", "phylum"), 5, "log2fc_shrunk", "padj")
 
 
 @query("m17_explore_permanova")
 def m17_permanova(spark, sf):
-    return _r(_explored(spark, sf)["permanova"], 6, "sums_of_sqs", "f_model", "r2", "p_value", "p_adjusted")
+    return _r(_explored(spark, sf, "permanova"), 6, "sums_of_sqs", "f_model", "r2", "p_value", "p_adjusted")
 
 
 @query("m17_explore_alpha")
 def m17_alpha(spark, sf):
-    return _r(_explored(spark, sf)["alpha_model"], 6, "estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high")
+    return _r(_explored(spark, sf, "alpha_model"), 6, "estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high")
 
 
 @query("m17_explore_ordination")
 def m17_ordination(spark, sf):
-    out = _explored(spark, sf)["ordination"].select("sample_id", "grp", "axis1", "axis2", "centroid_axis1", "centroid_axis2")
+    out = _explored(spark, sf, "ordination").select("sample_id", "grp", "axis1", "axis2", "centroid_axis1", "centroid_axis2")
     return _r(out, 6, "axis1", "axis2", "centroid_axis1", "centroid_axis2")
 
 
