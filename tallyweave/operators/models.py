@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.distributions import t_multiplier, t_pvalue
 from tallyweave.functions.ranking import benjamini_hochberg, bonferroni
 from tallyweave.operators.cleaning import impute_missing
+from tallyweave.session import checkpointed
 
 
 def replicate(df: DataFrame, runs: int, out: str = "seed") -> DataFrame:
@@ -35,9 +36,12 @@ def cells(df: DataFrame, value: str, factors: Sequence[str], keys: Sequence[str]
 
 
 def with_residual(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Add residual degrees of freedom and standard deviation of the saturated model to every cell."""
+    """Add residual degrees of freedom and standard deviation of the saturated model to every cell.
+
+    The cells are few and used several times by every model, so they are stored once and the data is read once.
+    """
     by = ["_k", *keys]
-    table = table.withColumn("_k", F.lit(0))
+    table = checkpointed(table).withColumn("_k", F.lit(0))
     pooled = table.groupBy(*by).agg((F.sum("n") - F.count(F.lit(1))).alias("df"), F.sum("ss").alias("_sse"))
     pooled = pooled.withColumn("sigma", F.sqrt(F.try_divide(F.col("_sse"), F.col("df")))).drop("_sse")
     return table.join(pooled, by).drop("_k")

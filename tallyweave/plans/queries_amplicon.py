@@ -9,6 +9,7 @@ from tallyweave.operators import amplicon as A
 from tallyweave.plans import standin
 from tallyweave.plans.registry import query
 from tallyweave.plans.standin import table, with_
+from tallyweave.session import parallel_scan
 
 
 def _r(df, digits, *names):
@@ -156,10 +157,10 @@ _CLASSIFY = """WITH rk AS (SELECT DISTINCT lineage, substr(text, CAST(i AS INTEG
 
 
 def _classified(spark, sf):
-    asked = table(spark, sf, "conversations").select(
+    asked = parallel_scan(table(spark, sf, "conversations")).select(
         F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("seq")
     )
-    known = table(spark, sf, "documents").select("lang", "source", F.col("text").alias("seq"))
+    known = parallel_scan(table(spark, sf, "documents")).select("lang", "source", F.col("text").alias("seq"))
     return A.classify(asked, known, ["lang", "source"])
 
 

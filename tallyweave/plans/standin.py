@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.session import parallel_scan
+
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "dense": (
         """SELECT CAST(l_suppkey AS VARCHAR) AS sample_id, p_brand || '/' || p_type AS feature_id, count(*) AS count
@@ -211,7 +213,7 @@ def assay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def amplicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        table(spark, sf_dir, "documents")
+        parallel_scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
         .select(F.col("source").alias("sample_id"), "doc_id", F.posexplode(F.split("text", r"[.\n]")).alias("i", "part"))
         .select(
             "sample_id",

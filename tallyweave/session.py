@@ -64,3 +64,9 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     partition number adaptive execution would merge it into very few tasks.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
+def parallel_scan(df: DataFrame) -> DataFrame:
+    """Rebalance a file scan that is too small to occupy all cores; larger scans are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
