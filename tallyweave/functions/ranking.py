@@ -101,12 +101,14 @@ def benjamini_hochberg(df: DataFrame, p: str, families: Sequence[str] = (), out:
 
 
 def bonferroni(df: DataFrame, p: str, families: Sequence[str] = (), out: str = "p_adjusted") -> DataFrame:
+    """p times the number of tests in the family, at most 1; null p stays null and does not count."""
     families = list(families)
     if not families:
         m = df.agg(F.count(p).alias("m")).scalar()
-        return df.withColumn(out, F.least(F.col(p) * m, F.lit(1.0)))
+        return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.col(p) * m, F.lit(1.0))))
     sizes = df.groupBy(*families).agg(F.count(p).alias("_m"))
-    return df.join(sizes, families).withColumn(out, F.least(F.col(p) * F.col("_m"), F.lit(1.0))).drop("_m")
+    capped = F.when(F.col(p).isNotNull(), F.least(F.col(p) * F.col("_m"), F.lit(1.0)))
+    return df.join(sizes, families).withColumn(out, capped).drop("_m")
 
 
 def global_index(df: DataFrame, order: Sequence[Column], out: str = "idx", partitions: int | None = None) -> DataFrame:

@@ -94,7 +94,7 @@ def _dense(cells: pd.DataFrame, design: pd.DataFrame) -> tuple[np.ndarray, np.nd
 
 def _moments(_key, cells: pd.DataFrame, design: pd.DataFrame) -> pd.DataFrame:
     if not len(cells):
-        return pd.DataFrame({"feature_id": [], "base_mean": [], "moment": []})
+        return pd.DataFrame()
     names, k, x, s = _dense(cells, design)
     q = k / s
     fitted = q @ np.linalg.pinv(x).T @ x.T
@@ -134,7 +134,7 @@ def _weighted_fit(k: np.ndarray, x: np.ndarray, s: np.ndarray, alpha: np.ndarray
 def _wald(names: Sequence[str]):
     def block(_key, cells: pd.DataFrame, design: pd.DataFrame) -> pd.DataFrame:
         if not len(cells):
-            return pd.DataFrame({"feature_id": [], "coefficient": [], "log2fc": [], "lfc_se": []})
+            return pd.DataFrame()
         features, k, x, s = _dense(cells, design)
         alpha = cells.groupby("feature_id")["dispersion"].first().loc[features].to_numpy()
         beta, se, _ = _weighted_fit(k, x, s, alpha)
@@ -151,7 +151,7 @@ def _wald(names: Sequence[str]):
 def _ratio_test(reduced: int):
     def block(_key, cells: pd.DataFrame, design: pd.DataFrame) -> pd.DataFrame:
         if not len(cells):
-            return pd.DataFrame({"feature_id": [], "statistic": [], "log2fc": []})
+            return pd.DataFrame()
         features, k, x, s = _dense(cells, design)
         alpha = cells.groupby("feature_id")["dispersion"].first().loc[features].to_numpy()
         full_beta, _, full = _weighted_fit(k, x, s, alpha)

@@ -28,9 +28,12 @@ def _tile_schema(abund: DataFrame, keys: Sequence[str]) -> str:
 
 
 def _shared_counts(keys: Sequence[str], ordered: bool):
-    """Tile function. Rows without a feature carry the library size of their sample."""
+    """Tile function. Rows without a feature carry the library size of their sample.
 
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    The group key ends with the two block numbers and the slice; with ``ordered`` equal blocks make a diagonal tile.
+    """
+
+    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf.iloc[0]
         names, sample = np.unique(pdf["sample_id"].to_numpy(dtype=str), return_inverse=True)
         side_of = np.zeros(len(names), dtype=np.int8)
@@ -40,7 +43,7 @@ def _shared_counts(keys: Sequence[str], ordered: bool):
         counts = pdf["count"].to_numpy(dtype=np.int64)
         size = np.zeros(len(names), dtype=np.int64)
         size[sample[marker]] = counts[marker]
-        two_sided = bool(side.any()) and not bool(side.all())
+        two_sided = not (ordered and key[-3] == key[-2])
         left = np.flatnonzero(side_of == 0)
         right = np.flatnonzero(side_of == 1) if two_sided else left
         place = np.zeros(len(names), dtype=np.int64)
@@ -67,6 +70,8 @@ def _shared_counts(keys: Sequence[str], ordered: bool):
             i, j = np.triu_indices(len(left), 1)
         else:
             i = j = np.array([], dtype=int)
+        if not len(i):
+            return pd.DataFrame()
         a, b = left[i], right[j]
         swap = (a > b) if ordered else np.zeros(len(a), dtype=bool)
         first, second = np.where(swap, b, a), np.where(swap, a, b)

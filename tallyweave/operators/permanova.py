@@ -42,7 +42,7 @@ def _within_sums(per_array: int):
         names = {s: i for i, s in enumerate(labels["sample_id"])}
         codes = np.stack(labels["codes"].to_numpy()) if len(labels) else np.zeros((0, 0), dtype=int)
         if not len(pairs):
-            return pd.DataFrame({"comparison": [], "perm": [], "code": [], "ss": []})
+            return pd.DataFrame()
         a, b = pairs["sample_a"].map(names).to_numpy(), pairs["sample_b"].map(names).to_numpy()
         rows, ra = np.unique(a, return_inverse=True)
         cols, cb = np.unique(b, return_inverse=True)
@@ -132,12 +132,14 @@ def permanova(
     total = pairs.groupBy("comparison").agg(F.sum("d2").alias("sst")).join(overall, "comparison")
     total = total.withColumn("sst", F.col("sst") / F.col("n"))
     ssa = F.col("sst") - F.col("ssw")
-    f = F.try_divide(ssa / (F.col("g") - 1), F.col("ssw") / (F.col("n") - F.col("g")))
+    f = F.try_divide(
+        F.try_divide(ssa, F.col("g") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("g"))
+    )
     stats = within.join(total, "comparison").withColumn("f", F.round(f, 9))
     # a comparison has one row per permutation here
     first = F.max(F.when(F.col("perm") == 0, F.col("f"))).over(Window.partitionBy("comparison"))
     as_large = F.count_if((F.col("perm") > 0) & (F.col("f") >= F.col("f_model")))
-    p = (F.lit(1) + as_large) / F.lit(float(permutations + 1))
+    p = F.when(F.col("f_model").isNotNull(), (F.lit(1) + as_large) / F.lit(float(permutations + 1)))
     observed = F.col("perm") == 0
     return (
         stats.withColumn("f_model", first)
@@ -145,7 +147,7 @@ def permanova(
         .agg(
             F.max(F.col("g") - 1).alias("df"),
             F.max(F.when(observed, ssa)).alias("sums_of_sqs"),
-            F.max(F.when(observed, ssa / F.col("sst"))).alias("r2"),
+            F.max(F.when(observed, F.try_divide(ssa, F.col("sst")))).alias("r2"),
             (p if permutations else F.lit(None).cast("double")).alias("p_value"),
         )
     )

@@ -153,10 +153,11 @@ def _permanova_sql(members: str, permutations: int, seed: str) -> str:
     within AS (SELECT a.comparison, a.perm, sum(d2 / n_g) AS ssw FROM dd JOIN labels a ON a.comparison = dd.comparison AND a.sample_id = sample_a
        JOIN labels b ON b.comparison = dd.comparison AND b.sample_id = sample_b AND b.perm = a.perm AND a.grp = b.grp
        JOIN sizes z ON z.comparison = dd.comparison AND z.grp = a.grp GROUP BY 1, 2),
-    stats AS (SELECT comparison, perm, sst - ssw AS ssa, (sst - ssw) / sst AS r2, g - 1 AS df,
-       round(((sst - ssw) / (g - 1)) / (ssw / (n - g)), 9) AS f FROM within JOIN total USING (comparison) JOIN overall USING (comparison)),
+    filled AS (SELECT comparison, perm, coalesce(ssw, 0) AS ssw FROM (SELECT DISTINCT comparison, perm FROM labels) LEFT JOIN within USING (comparison, perm)),
+    stats AS (SELECT comparison, perm, sst - ssw AS ssa, (sst - ssw) / nullif(sst, 0) AS r2, g - 1 AS df,
+       round(((sst - ssw) / nullif(g - 1, 0)) / nullif(ssw / nullif(n - g, 0), 0), 9) AS f FROM filled JOIN total USING (comparison) JOIN overall USING (comparison)),
     tested AS (SELECT o.comparison, CAST(o.df AS BIGINT) AS df, o.ssa AS sums_of_sqs, o.f AS f_model, o.r2,
-       (1 + (SELECT count(*) FROM stats s WHERE s.comparison = o.comparison AND s.perm > 0 AND s.f >= o.f)) / {permutations + 1}.0e0 AS p_value
+       CASE WHEN o.f IS NOT NULL THEN (1 + (SELECT count(*) FROM stats s WHERE s.comparison = o.comparison AND s.perm > 0 AND s.f >= o.f)) / {permutations + 1}.0e0 END AS p_value
        FROM stats o WHERE perm = 0)"""
 
 
@@ -191,7 +192,7 @@ _PAIRWISE = (
         "6",
     )
     + """, pairwise AS (SELECT c.*, df, sums_of_sqs, f_model, r2, p_value,
-       least(p_value * count(*) OVER (), 1.0e0) AS p_adjusted FROM tested t JOIN course_pairs c ON c.pairs = t.comparison)"""
+       CASE WHEN p_value IS NOT NULL THEN least(p_value * count(p_value) OVER (), 1.0e0) END AS p_adjusted FROM tested t JOIN course_pairs c ON c.pairs = t.comparison)"""
 )
 
 
@@ -216,8 +217,9 @@ def d6(spark, sf):
 
 
 def _bh_sql(source: str) -> str:
-    return f"""SELECT *, least(min(raw) OVER (ORDER BY p_value ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0e0) AS fdr
-      FROM (SELECT *, p_value * count(*) OVER () / count(*) OVER (ORDER BY p_value) AS raw FROM pairwise WHERE {source})"""
+    return f"""SELECT *, CASE WHEN p_value IS NOT NULL THEN
+        least(min(raw) OVER (ORDER BY p_value ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0e0) END AS fdr
+      FROM (SELECT *, p_value * count(p_value) OVER () / count(p_value) OVER (ORDER BY p_value) AS raw FROM pairwise WHERE {source})"""
 
 
 @query(
