@@ -112,12 +112,14 @@ def r7(spark, sf):
 
 
 _FLAGS = _UNIQUES + """, w AS (SELECT sample_id, seq, count AS n, length(seq) AS len FROM u),
-    pp AS (SELECT c.sample_id, c.seq, c.len, p.seq AS parent,
-       (SELECT count(*) FROM range(1, c.len) t(i) WHERE i <= p.len AND left(c.seq, CAST(i AS INTEGER)) = left(p.seq, CAST(i AS INTEGER))) AS lcp,
-       (SELECT count(*) FROM range(1, c.len) t(i) WHERE i <= p.len AND right(c.seq, CAST(i AS INTEGER)) = right(p.seq, CAST(i AS INTEGER))) AS lcs
-       FROM w c JOIN w p ON p.sample_id = c.sample_id AND p.seq <> c.seq AND p.n >= 2 * c.n),
-    hit AS (SELECT DISTINCT a.sample_id, a.seq FROM pp a JOIN pp b ON a.sample_id = b.sample_id AND a.seq = b.seq AND a.parent <> b.parent
-       WHERE a.lcp >= 1 AND b.lcs >= 1 AND a.lcp + b.lcs >= a.len)"""
+    ends AS (SELECT *, left(seq, CAST(i AS INTEGER)) AS px, right(seq, CAST(i AS INTEGER)) AS sx
+       FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM w)),
+    lcp AS (SELECT c.sample_id, c.seq, c.len, p.seq AS parent, max(c.i) AS span FROM ends c JOIN ends p
+       ON p.sample_id = c.sample_id AND p.i = c.i AND p.px = c.px AND p.n >= 2 * c.n AND p.seq <> c.seq WHERE c.i < c.len GROUP BY 1, 2, 3, 4),
+    lcs AS (SELECT c.sample_id, c.seq, p.seq AS parent, max(c.i) AS span FROM ends c JOIN ends p
+       ON p.sample_id = c.sample_id AND p.i = c.i AND p.sx = c.sx AND p.n >= 2 * c.n AND p.seq <> c.seq WHERE c.i < c.len GROUP BY 1, 2, 3),
+    hit AS (SELECT DISTINCT a.sample_id, a.seq FROM lcp a JOIN lcs b ON a.sample_id = b.sample_id AND a.seq = b.seq
+       WHERE a.parent <> b.parent AND a.span + b.span >= a.len)"""
 
 
 @query(
