@@ -260,6 +260,14 @@ def annotate(results: DataFrame, tax: DataFrame, alpha: float | None = 0.05, min
 # -- time profiles -------------------------------------------------------------------------------------------------
 
 
+def design_cells(meta: DataFrame, group: str, time: str, most: int = 10_000) -> list[tuple[object, object]]:
+    """The (group, time) cells of a design in order. They become columns, so more than ``most`` are refused."""
+    rows = meta.select(group, time).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} design cells; pass coarser time points or groups")
+    return sorted((r[0], r[1]) for r in rows)
+
+
 def profiles(values: DataFrame, meta: DataFrame, group: str, time: str, cells: Sequence[tuple[object, object]]) -> DataFrame:
     """Per feature the z-scored mean stabilised value of each listed (group, time) cell, absent counts included."""
     wanted = [F.count_if((F.col(group) == F.lit(g)) & (F.col(time) == F.lit(t))) for g, t in cells]

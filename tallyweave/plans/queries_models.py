@@ -318,27 +318,28 @@ def m11(spark, sf):
     return _r(_ratio_tests(spark, sf, REGIONS), 5, "base_mean", "dispersion", "statistic", "log2fc", "p_value", "padj")
 
 
-_TIME_CELLS = [(r, d) for r in ("R0", "R1") for d in range(7)]
+def _time_cells(spark, sf):
+    return diffabund.design_cells(standin.course_meta(spark, sf), "room", "day")
 
 
 def _profiles(spark, sf):
     abund = standin.course(spark, sf)
     values = diffabund.stabilised(abund, diffabund.size_factors(abund, "poscounts"))
-    return diffabund.profiles(values, standin.course_meta(spark, sf), "room", "day", _TIME_CELLS)
+    return diffabund.profiles(values, standin.course_meta(spark, sf), "room", "day", _time_cells(spark, sf))
 
 
 @query(
     "m14_profiles",
     with_("course", "course_meta") + _RATIO.format(t="course", cond="true")
     + """, v AS (SELECT sample_id, feature_id, log2(count / exp(lf - (SELECT avg(lf) FROM sf)) + 0.5e0) AS value FROM course JOIN sf USING (sample_id)),
-    cs AS (SELECT room, day, count(*) AS n FROM course_meta WHERE room IN ('R0', 'R1') GROUP BY 1, 2),
-    nz AS (SELECT feature_id, room, day, count(*) AS k, sum(value) AS s FROM v JOIN course_meta USING (sample_id) WHERE room IN ('R0', 'R1') GROUP BY 1, 2, 3),
+    cs AS (SELECT room, day, count(*) AS n FROM course_meta GROUP BY 1, 2),
+    nz AS (SELECT feature_id, room, day, count(*) AS k, sum(value) AS s FROM v JOIN course_meta USING (sample_id) GROUP BY 1, 2, 3),
     m AS (SELECT f.feature_id, cs.room, cs.day, (coalesce(s, 0) - (cs.n - coalesce(k, 0))) / cs.n AS m
       FROM (SELECT DISTINCT feature_id FROM v) f JOIN cs ON true LEFT JOIN nz ON nz.feature_id = f.feature_id AND nz.room = cs.room AND nz.day = cs.day)
     SELECT feature_id, room, day, round((m - avg(m) OVER (PARTITION BY feature_id)) / stddev_samp(m) OVER (PARTITION BY feature_id), 6) AS z FROM m""",
 )
 def m14_profiles(spark, sf):
-    cells = F.array(*[F.struct(F.lit(r).alias("room"), F.lit(d).alias("day")) for r, d in _TIME_CELLS])
+    cells = F.array(*[F.struct(F.lit(r).alias("room"), F.lit(d).alias("day")) for r, d in _time_cells(spark, sf)])
     points = _profiles(spark, sf).select("feature_id", F.posexplode("profile").alias("cell", "z"))
     return points.select("feature_id", F.get(cells, F.col("cell")).alias("at"), F.round("z", 6).alias("z")).select("feature_id", "at.*", "z")
 
@@ -350,14 +351,14 @@ def m14(spark, sf):
 
 @query("m14_cluster_profiles")
 def m14_summary(spark, sf):
-    return _r(diffabund.cluster_summary(diffabund.pattern_clusters(_profiles(spark, sf)), _TIME_CELLS), 5, "z")
+    return _r(diffabund.cluster_summary(diffabund.pattern_clusters(_profiles(spark, sf)), _time_cells(spark, sf)), 5, "z")
 
 
 @query("m15_interesting_clusters")
 def m15(spark, sf):
     """Clusters that fall over time in the reference room, with taxonomy, tallied by family over three comparisons."""
     clusters = diffabund.pattern_clusters(_profiles(spark, sf))
-    falling = diffabund.cluster_summary(clusters, _TIME_CELLS).filter(F.col("group") == "R0")
+    falling = diffabund.cluster_summary(clusters, _time_cells(spark, sf)).filter(F.col("group") == "R0")
     slope = falling.groupBy("cluster").agg(F.covar_samp("time", "z").alias("slope")).filter(F.col("slope") < 0)
     chosen = clusters.join(slope, "cluster").select("feature_id")
     changed = {
