@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyweave.countset import CountSet
 from tallyweave.functions.distributions import hypergeometric_mid_upper, normal_upper
 from tallyweave.operators.summaries import class_prevalence
+from tallyweave.session import checkpointed
 
 
 def prevalence_scores(
@@ -61,8 +63,15 @@ def clean(
     drop_types: Sequence[str] = ("neg", "mock"),
     sample_type: str = "sample_type",
 ) -> CountSet:
-    """Bad samples out, singletons out, contaminants out, controls out, singletons out again; the order matters."""
-    kept = cs.drop_samples(bad_samples).keep_by_total(1)
+    """Bad samples out, singletons out, contaminants out, controls out, singletons out again; the order matters.
+
+    Every step reads the counts it prunes twice, so the counts are stored between the steps.
+    """
+
+    def stored(s: CountSet) -> CountSet:
+        return replace(s, abund=checkpointed(s.abund))
+
+    kept = stored(cs.drop_samples(bad_samples).keep_by_total(1))
     scores = prevalence_scores(kept.abund, kept.meta, threshold, method)
-    kept = kept.keep_features(scores.filter(~F.col("contaminant")))
+    kept = stored(kept.keep_features(scores.filter(~F.col("contaminant"))))
     return kept.keep_samples(~F.col(sample_type).isin(list(drop_types))).keep_by_total(1)

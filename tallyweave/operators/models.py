@@ -38,13 +38,14 @@ def cells(df: DataFrame, value: str, factors: Sequence[str], keys: Sequence[str]
 def with_residual(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Add residual degrees of freedom and standard deviation of the saturated model to every cell.
 
-    The cells are few and used several times by every model, so they are stored once and the data is read once.
+    The cells are few and used several times by every model, so they are stored once and the data is read once. The
+    stored column ``_k`` is a constant key for joins to one-row tables.
     """
     by = ["_k", *keys]
-    table = checkpointed(table).withColumn("_k", F.lit(0))
+    table = checkpointed(table.withColumn("_k", F.lit(0)))
     pooled = table.groupBy(*by).agg((F.sum("n") - F.count(F.lit(1))).alias("df"), F.sum("ss").alias("_sse"))
     pooled = pooled.withColumn("sigma", F.sqrt(F.try_divide(F.col("_sse"), F.col("df")))).drop("_sse")
-    return table.join(pooled, by).drop("_k")
+    return table.join(pooled, by)
 
 
 def _tests(df: DataFrame, conf: float = 0.95, interval: bool = True) -> DataFrame:
@@ -67,7 +68,6 @@ def one_way(df: DataFrame, value: str, factor: str, levels: Sequence[str], keys:
     """``value ~ factor``: the reference mean as intercept, every other level as difference to it."""
     keys = list(keys)
     table = with_residual(cells(df.filter(F.col(factor).isin(list(levels))), value, [factor], keys), keys)
-    table = table.withColumn("_k", F.lit(0))
     ref = _reference(table, F.col(factor) == levels[0], keys, "ref")
     is_ref = F.col(factor) == levels[0]
     out = table.join(ref, ["_k", *keys]).select(
@@ -83,7 +83,6 @@ def one_way(df: DataFrame, value: str, factor: str, levels: Sequence[str], keys:
 def two_way(df: DataFrame, value: str, a: str, a_levels: Sequence, b: str, b_levels: Sequence[str]) -> DataFrame:
     """``value ~ a * b`` with all cells: intercept, main effects in the reference cell row or column, interactions."""
     table = with_residual(cells(df.filter(F.col(a).isin(list(a_levels)) & F.col(b).isin(list(b_levels))), value, [a, b]))
-    table = table.withColumn("_k", F.lit(0))
     a0, b0 = F.col(a) == F.lit(a_levels[0]), F.col(b) == F.lit(b_levels[0])
     same_a = table.filter(b0).select(a, F.col("n").alias("n_a"), F.col("mean").alias("mean_a"))
     same_b = table.filter(a0).select(b, F.col("n").alias("n_b"), F.col("mean").alias("mean_b"))
@@ -133,7 +132,7 @@ def pairwise_contrasts(
     """
     by, keys = list(by), list(keys)
     known = df.filter(F.col(factor).isin(list(levels)))
-    table = with_residual(cells(known, value, [*by, factor], keys), keys).withColumn("_k", F.lit(0))
+    table = with_residual(cells(known, value, [*by, factor], keys), keys)
     pairs = [x for i, level in enumerate(levels) for x in (F.lit(level), F.array(*[F.lit(v) for v in levels[i + 1 :]]).cast("array<string>"))]
     later = F.explode(F.try_element_at(F.create_map(*pairs), F.col(factor)))
     left = table.withColumn("_other", later)
