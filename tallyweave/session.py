@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
-
 
 def local_session(cores: int | str = "*", app: str = "tallyweave", memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks; on a cluster, pass your own session."""
@@ -29,18 +26,14 @@ def local_session(cores: int | str = "*", app: str = "tallyweave", memory: str =
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder; a cluster without the setting is an error,
-    because files on one machine would be invisible to the others.
+    Where the setting is absent, a folder below the warehouse, which all executors share as well. Checkpoints go with
+    their DataFrames if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set; scratch tables stay until the
+    folder ``tallyweave`` below this one is deleted.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = _local_dirs.get(sc.applicationId)
-        if configured is None:
-            configured = tempfile.mkdtemp(prefix="tallyweave-")
-            _local_dirs[sc.applicationId] = configured
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tallyweave-scratch"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured
