@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyweave.llm.common import lower_ascii
+from tallyweave.llm.common import lower_ascii, stored
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _CASED_GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # the same, before A-Z are lower-cased
@@ -92,6 +92,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_limit: in
 
 def _counts(hits: DataFrame) -> DataFrame:
     """n_hit (words in any occurrence) and items, by document."""
+    hits = stored(hits, "benchmark-hits")  # read twice
     spans = hits.select("doc", "key", "at", "length").distinct()
     w = Window.partitionBy("doc", "key").orderBy("at", "length").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("at") + F.col("length")

@@ -1,7 +1,7 @@
 """Bounded-space online best-fit packing of tokenised documents into sequences of fixed capacity.
 
-Pieces are dealt to packing tasks of about ``task_tokens`` tokens by a hash, then each task packs its pieces in one pass,
-longest first: a piece goes to the open bin with the least sufficient free space, found in a bitset keyed by free space.
+Pieces are dealt by a hash to packing tasks, whose number and size adaptive execution chooses; each task packs its pieces in
+one pass, longest first, and may leave one sequence unfilled: a piece goes to the open bin with the least sufficient free space, found in a bitset keyed by free space.
 At most ``open_bins`` bins are open; when one more is needed the fullest closes. A task's memory is its open bins and one
 batch of pieces, whatever the input's size.
 
@@ -12,7 +12,6 @@ null doc_id keeps its rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import arrow_map, stored
+from tallyweave.llm.common import arrow_map
 from tallyweave.llm.tokens import Encoder
 
 
@@ -80,12 +79,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, ca
     return arrow_map(docs.select("doc_id", "text"), each, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 1024, task_tokens: int = 1 << 25) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 1024) -> DataFrame:
     """Adds sequence_id (long) and offset to rows with ``length`` and ``ids``; sequences have no gaps."""
-    pieces = stored(pieces, "packing-pieces")
-    total = pieces.agg(F.sum("length").alias("t")).first()["t"] or 0
-    tasks = max(1, math.ceil(total / task_tokens))
-    dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece", "ids"))
+    dealt = pieces.repartition(F.xxhash64("doc_id", "piece", "ids"))
     dealt = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", F.xxhash64("ids")).withColumn("task", F.spark_partition_id())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +98,6 @@ def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 1024, task_to
     return dealt.mapInArrow(each, f"{schema}, sequence_id bigint, offset bigint")
 
 
-def packed(
-    docs: DataFrame, tokenizer: str, end_id: int, kind: str = "word", capacity: int = 4096, open_bins: int = 1024, task_tokens: int = 1 << 25
-) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "word", capacity: int = 4096, open_bins: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids, sequence_id, offset for each piece of each document."""
-    return pack(tokenized_pieces(docs, tokenizer, kind, end_id, capacity), capacity, open_bins, task_tokens)
+    return pack(tokenized_pieces(docs, tokenizer, kind, end_id, capacity), capacity, open_bins)

@@ -1,9 +1,10 @@
 """Whole-text tokenisation with a word memo.
 
 ``byte`` files (byte-level BPE whose pattern gives each word its leading space) are cut before a space that follows a
-character that is no white space; ``word`` files (white space dropped) are cut at ASCII white space. No token of either
-kind reaches over such a cut, so ids of the pieces are the ids of the whole text. A worker keeps the ids of frequent
-pieces, at most ``MEMO`` of them.
+character that is no white space; ``word`` files (lower case, white space dropped) are cut at ASCII white space, and A-Z
+are lower-cased at once unless a combining mark could join them. No token of either kind reaches over such a cut, so ids
+of the pieces are the ids of the whole text. A worker keeps the ids of pieces, at most ``MEMO`` of them; others are encoded
+anew, many in one text with separators that have a token of their own.
 """
 
 from __future__ import annotations
@@ -13,9 +14,15 @@ import re
 
 import numpy as np
 
-MEMO = 300_000
+MEMO = 800_000
 _LONGEST = 40
+_GROUP = 1 << 19
+_TOGETHER = 256
+_SEPARATOR = {"word": " \x01 ", "byte": "<|endoftext|>"}
 _BYTE_PIECES = re.compile(r"\s*\S+(?:(?! )\s+\S+)*|\s+")
+_COMBINING = re.compile("[\u0300-\u036f]")
+# a comma or full stop after another sign is one token with it
+_SIGNS = re.compile(r"(?:[^\w\s]|_)[.,]")
 _loaded: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -27,7 +34,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.memo = Tokenizer.from_file(path), kind, {}
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4"
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
+        found = self._ids(_SEPARATOR[kind])
+        self.separator = int(found[0]) if len(found) == 1 else None
 
     @classmethod
     def shared(cls, path: str, kind: str) -> "Encoder":
@@ -36,21 +45,67 @@ class Encoder:
             _loaded[path, kind] = cls(path, kind)
         return _loaded[path, kind]
 
-    def pieces(self, text: str) -> list:
-        return text.encode().split() if self.kind == "word" else _BYTE_PIECES.findall(text)
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _new(self, pieces: list) -> dict:
+        """Ids of distinct pieces."""
+        out, clear, separator = {}, [], _SEPARATOR[self.kind]
+        for p in pieces:
+            t = p.decode() if self.kind == "word" else p
+            if self.separator is None or separator.strip() in t or "<|" in t:
+                out[p] = self._ids(t).tobytes()
+            else:
+                clear.append((p, t))
+        parts = [clear[a : a + _TOGETHER] for a in range(0, len(clear), _TOGETHER)]
+        found = self.tokenizer.encode_batch_fast([separator.join(t for _, t in part) for part in parts], add_special_tokens=False)
+        for part, e in zip(parts, found):
+            ids = np.asarray(e.ids, self.dtype)
+            ends = np.append(np.flatnonzero(ids == self.separator), len(ids)).tolist()
+            raw, width, begin = ids.tobytes(), self.dtype.itemsize, 0
+            for (p, _), end in zip(part, ends, strict=True):
+                out[p] = raw[begin * width : end * width]
+                begin = end + 1
+        return out
+
+    def _pieces(self, text: str | None) -> list:
+        if not text:
+            return []
+        if self.kind == "byte":
+            return _BYTE_PIECES.findall(text)
+        raw = text.encode()
+        if not _COMBINING.search(text):
+            raw = raw.lower()
+        if not _SIGNS.search(text):
+            raw = raw.replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" .\n")
+        return raw.split()
+
+    def _group(self, texts: list[str | None]) -> list[bytes]:
+        memo = self.memo
+        rows, new = [], set()
+        for t in texts:
+            pieces = self._pieces(t)
+            ids = list(map(memo.get, pieces))
+            missing = [i for i, x in enumerate(ids) if x is None]
+            new.update([pieces[i] for i in missing])
+            rows.append((pieces, ids, missing))
+        own = self._new(list(new)) if new else {}
+        if len(memo) + len(own) <= MEMO:
+            memo.update((p, v) for p, v in own.items() if len(p) <= _LONGEST)
+        out = []
+        for pieces, ids, missing in rows:
+            for i in missing:
+                ids[i] = own[pieces[i]]
+            out.append(b"".join(ids))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Null counts as empty."""
-        parts = [self.pieces(t) if t else [] for t in texts]
-        memo, own = self.memo, {}
-        new = list({p for ps in parts for p in ps if p not in memo})
-        if new:
-            plain = [p.decode() for p in new] if self.kind == "word" else new
-            found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
-            own = {p: np.asarray(e.ids, self.dtype).tobytes() for p, e in zip(new, found)}
-            for p in new[: max(0, MEMO - len(memo))]:
-                if len(p) <= _LONGEST:
-                    memo[p] = own.pop(p)
-        if not own:
-            return [b"".join(map(memo.__getitem__, ps)) for ps in parts]
-        return [b"".join([memo[p] if p in memo else own[p] for p in ps]) for ps in parts]
+        """Ids of each text; null counts as empty. Texts are taken in groups, so that few pieces exist at a time."""
+        out, group, size = [], [], 0
+        for t in texts:
+            group.append(t)
+            size += len(t) if t else 0
+            if size >= _GROUP:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group) if group else out
