@@ -43,3 +43,13 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
 def id_crc(ids: bytes) -> int:
     return zlib.crc32(ids) & 0xFFFFFFFF
+
+
+def small_side(df: DataFrame, megabytes: int, row_bytes: int = 48) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted now, fit into the limit; otherwise as it is.
+
+    ``df`` should be a stored table. Elements of array columns are counted like rows.
+    """
+    arrays = [F.sum(F.size(f.name)) for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    counted = df.agg(F.count("*").alias("n"), *[a.alias(f"a{i}") for i, a in enumerate(arrays)]).first()
+    return F.broadcast(df) if sum(x or 0 for x in counted) * row_bytes <= megabytes << 20 else df

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm import chunks, decontaminate, idcoder, knn, langid, packing, simhash, suffixes, toxicity
+from tallyweave.llm import chunks, decontaminate, idcoder, knn, langid, lines, packing, simhash, suffixes, toxicity
 from tallyweave.llm.common import table
 from tallyweave.session import scratch_path
 
@@ -97,6 +97,29 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "piece", "start", "length", _crc32_of_u16("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+_OP8_SQL = r"""
+WITH l AS (SELECT doc_id, pos - 1 AS line, parts[pos] AS t FROM
+        (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))),
+w AS (SELECT doc_id, line, t, list_sort(list_distinct(list_filter(string_split(
+        lower(replace(replace(t, chr(9), ' '), chr(13), ' ')), ' '), lambda x: x <> ''))) AS s FROM l),
+f AS (SELECT s, len(s) AS n, min((doc_id, line)) AS first, row_number() OVER () AS k FROM w WHERE len(s) > 0 GROUP BY s),
+c AS (SELECT x.s, x.n + y.n AS m, len(list_intersect(x.s, y.s)) AS i FROM f x JOIN f y
+    ON y.first < x.first AND x.n * 0.8 <= y.n + 1e-9 AND y.n * 0.8 <= x.n + 1e-9),
+p AS (SELECT DISTINCT s FROM c WHERE i >= 0.8 * (m - i) - 1e-9),
+k AS (SELECT w.doc_id, w.line, t, len(w.s) > 0 AND ((w.doc_id, w.line) <> f.first OR p.s IS NOT NULL) AS gone
+    FROM w LEFT JOIN f ON w.s = f.s LEFT JOIN p ON w.s = p.s)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    sha256(coalesce(string_agg(t, chr(10) ORDER BY line) FILTER (NOT coalesce(gone, false)), '')) AS kept_sha256
+FROM k GROUP BY doc_id
+"""
+
+
+@_query("op8_line_similarity", _OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_counts(table(spark, sf_dir, "documents"), threshold=0.8)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @_query("op9_suffix_array_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.without_repeats(table(spark, sf_dir, "documents"), length=400)
