@@ -64,14 +64,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, ca
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = Encoder.shared(tokenizer, kind)
-        end, width = np.asarray([end_id], encoder.dtype).tobytes(), np.dtype(encoder.dtype).itemsize
         at, piece, start, length, out = [], [], [], [], []
-        for i, ids in enumerate(encoder.encode(batch.column("text").to_pylist())):
-            ids += end
-            step = capacity * width
-            for k, b in enumerate(range(0, len(ids), step)):
-                part = ids[b : b + step]
-                at.append(i), piece.append(k), start.append(b // width), length.append(len(part) // width), out.append(part)
+        for i, ids in enumerate(encoder.encode(batch.column("text"))):
+            ids = np.append(ids, encoder.dtype.type(end_id))
+            for k, b in enumerate(range(0, len(ids), capacity)):
+                part = ids[b : b + capacity]
+                at.append(i), piece.append(k), start.append(b), length.append(len(part)), out.append(part.tobytes())
         columns = [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(out, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids"])
 

@@ -14,10 +14,12 @@ Lyndon prefix, and a pass from the smallest suffix on emits each group's order a
   Anchors whose whole surroundings are equal are repeats altogether. Of the others one each is kept, and in the text
   "fringe, symbol of the core, fringe" of all of them each string of ``reach + 1`` symbols stands for one string of
   ``length`` bytes. Suffix arrays of these texts put equal ones side by side.
-* A core with more than ``bucket_limit`` different surroundings is not gathered: its strings are counted by hash.
+* More than ``bucket_limit`` different surroundings of a core are split before they are gathered: a string around it covers
+  half of the reach before the core or half of it behind. So they meet by the core with either half, twice but with half
+  the reach, until the parts are small or nothing is left that could differ.
 
 Only anchors (about ``2 / (reach + 2)`` of the bytes) and the fringes of shared cores are shuffled. 64-bit hashes of core
-and surroundings together, or core and fringe bytes, must agree; a document is known by a 64-bit hash of id and text.
+and surroundings together, or core and halves, must agree; a document is known by a 64-bit hash of id and text.
 
 Defined results: null or short texts have no repeats; rows that repeat an id and a text are documents of their own, so
 their long strings repeat; strings overlap freely, in one document too; an empty table gives no rows.
@@ -26,6 +28,7 @@ their long strings repeat; strings overlap freely, in one document too; an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -270,44 +273,61 @@ def repeats(docs: DataFrame, length: int = 400, reach: int = 85, bucket_limit: i
 
     fringes = known.mapInArrow(cut, "core bigint, m bigint, key bigint, pos int, n bigint, l binary, r binary")
     # rows that repeat a document join to the same text: one of them is enough
-    fringes = stored(fringes.dropDuplicates(["core", "key", "pos"]), "suffix-fringes")
-
-    def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    part = stored(fringes.dropDuplicates(["core", "key", "pos"]).withColumn("g", F.lit(reach)), "suffix-fringes")
+    ranges = [equal.select("key", F.col("begin").cast("bigint"), F.col("end").cast("bigint"))]
+    while True:
+        ranges.append(_sorted(part.filter(F.col("m") <= bucket_limit), length))
+        hot = part.filter(F.col("m") > bucket_limit)
+        if hot.isEmpty():
+            break
+        same = hot.filter("g = 0 and n = 1")
+        ranges.append(same.select("key", F.col("pos").cast("bigint").alias("begin"), (F.col("pos") + length).cast("bigint").alias("end")))
+        part = _halves(hot.filter("g > 0"))
+    return reduce(DataFrame.union, ranges)
+
+
+def _halves(hot: DataFrame) -> DataFrame:
+    """Members of large buckets by the core and the half of the reach behind it, and by the core and the half before it."""
+    hot = hot.withColumn("h", F.expr("(g + 1) div 2").cast("int")).withColumn("k", F.col("g") - F.col("h") + 1)
+    tail = lambda c, n: F.substring(c, F.greatest(F.lit(1), F.octet_length(c) - n + 1), n)
+    behind = hot.filter(F.octet_length("r") >= F.col("h")).select(
+        F.xxhash64("core", F.lit(1), F.substring("r", F.lit(1), F.col("h"))).alias("core"), "key", "pos", "n",
+        tail("l", F.col("k") - 1).alias("l"), F.substring("r", F.col("h") + 1, F.col("g")).alias("r"), (F.col("k") - 1).alias("g"),
+    )
+    before = hot.filter(F.octet_length("l") >= F.col("k")).select(
+        F.xxhash64("core", F.lit(2), tail("l", F.col("k"))).alias("core"), "key", (F.col("pos") - F.col("k")).alias("pos"), "n",
+        F.substring("l", F.lit(1), F.octet_length("l") - F.col("k")).alias("l"), F.substring("r", F.lit(1), F.col("h") - 1).alias("r"), (F.col("h") - 1).alias("g"),
+    )
+    rows = stored(behind.union(before).filter(F.octet_length("l") + F.octet_length("r") >= F.col("g")), "suffix-halves")
+    sizes = rows.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1")
+    return stored(rows.join(sizes, "core").select("core", "m", "key", "pos", "n", "l", "r", "g"), "suffix-part")
+
+
+def _sorted(few: DataFrame, length: int) -> DataFrame:
+    """key, begin, end of repeated strings around the cores of buckets that a task can gather."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buckets: list[list[tuple]] = []
-        now, size = None, 0
-        columns = ["key", "begin", "end"]
+        now, reach, size = None, 0, 0
+
+        def solved() -> pd.DataFrame:
+            return pd.DataFrame(_shared_windows(buckets, reach, length), columns=["key", "begin", "end"], dtype="int64")
+
         for b in batches:
-            for c, *m in zip(b["core"], b["key"], b["pos"], b["n"], b["l"], b["r"]):
-                if c != now:
-                    if size >= _SYMBOLS or len(buckets) >= _CORES:
-                        yield pd.DataFrame(_shared_windows(buckets, reach, length), columns=columns, dtype="int64")
+            for g, c, *m in zip(b["g"], b["core"], b["key"], b["pos"], b["n"], b["l"], b["r"]):
+                if (g, c) != now:
+                    if buckets and (size >= _SYMBOLS or len(buckets) >= _CORES or g != reach):
+                        yield solved()
                         buckets, size = [], 0
                     buckets.append([])
-                    now = c
+                    now, reach = (g, c), g
                 buckets[-1].append(tuple(m))
-                size += reach
+                size += reach + 1
         if buckets:
-            yield pd.DataFrame(_shared_windows(buckets, reach, length), columns=columns, dtype="int64")
+            yield solved()
 
-    few = fringes.filter(F.col("m") <= bucket_limit).repartition("core").sortWithinPartitions("core", "key", "pos")
-    found = few.select("core", "key", "pos", "n", "l", "r").mapInPandas(sort, "key bigint, begin bigint, end bigint")
-
-    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for c, key, pos, n, left, right in zip(*(batch.column(x).to_pylist() for x in ("core", "key", "pos", "n", "l", "r"))):
-            s = left + right
-            for o in range(len(s) - reach + 1):
-                if 0 <= o <= len(left):
-                    d = len(left) - o
-                    out.append((c, d, _signed(xxhash.xxh3_64_intdigest(s[o : o + reach], d)), key, pos - d, n))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays(columns, names=["core", "d", "h", "key", "begin", "n"])
-
-    many = arrow_map(fringes.filter(F.col("m") > bucket_limit).drop("m"), windows, "core bigint, d int, h bigint, key bigint, begin bigint, n bigint")
-    twice = many.groupBy("core", "d", "h").agg(F.count("*").alias("c")).filter("c > 1").select("core", "d", "h")
-    counted = many.filter("n = 1").join(twice, ["core", "d", "h"]).select("key", "begin", (F.col("begin") + length).alias("end"))
-    return equal.select("key", F.col("begin").cast("bigint"), F.col("end").cast("bigint")).union(found).union(counted)
+    rows = few.repartition("core").sortWithinPartitions("g", "core", "key", "pos")
+    return rows.select("g", "core", "key", "pos", "n", "l", "r").mapInPandas(each, "key bigint, begin bigint, end bigint")
 
 
 def without_repeats(docs: DataFrame, length: int = 400, reach: int = 85, bucket_limit: int = 1000) -> DataFrame:
