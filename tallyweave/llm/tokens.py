@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 800_000
+MEMO = 300_000
 _LONGEST = 40
 _GROUP = 1 << 23
 _TOGETHER = 256
@@ -39,6 +39,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.memo = Tokenizer.from_file(path), kind, {}
+        # what these files normalise (case, composition, white space) doesn't occur in lower-cased ASCII pieces
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         found = self._ids(_SEPARATOR[kind])
         self.separator = int(found[0]) if len(found) == 1 else None
@@ -55,14 +58,18 @@ class Encoder:
 
     def _new(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of distinct pieces."""
-        out, clear, separator = {}, [], _SEPARATOR[self.kind]
+        out, separator = {}, _SEPARATOR[self.kind]
+        mark, simple, other = separator.strip(), [], []
         for p in pieces:
-            if self.separator is None or separator.strip() in p or "<|" in p:
+            if self.separator is None or mark in p or "<|" in p:
                 out[p] = self._ids(p).tobytes()
+            elif self.kind == "word" and p.isascii() and p.islower():
+                simple.append(p)
             else:
-                clear.append(p)
-        parts = [clear[a : a + _TOGETHER] for a in range(0, len(clear), _TOGETHER)]
-        found = self.tokenizer.encode_batch_fast([separator.join(part) for part in parts], add_special_tokens=False)
+                other.append(p)
+        parts = [some[a : a + _TOGETHER] for some in (simple, other) for a in range(0, len(some), _TOGETHER)]
+        texts, first = [separator.join(part) for part in parts], -(-len(simple) // _TOGETHER)
+        found = self.plain.encode_batch_fast(texts[:first], add_special_tokens=False) + self.tokenizer.encode_batch_fast(texts[first:], add_special_tokens=False)
         for part, e in zip(parts, found):
             ids = np.asarray(e.ids, self.dtype)
             ends = np.append(np.flatnonzero(ids == self.separator), len(ids)).tolist()
@@ -89,7 +96,7 @@ class Encoder:
     def _group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = self._pieces(pc.fill_null(texts, ""))
         encoded = lists.flatten().dictionary_encode()
-        pieces, memo = encoded.dictionary.to_pylist(), self.memo
+        pieces, memo = encoded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.memo
         ids = list(map(memo.get, pieces))
         missing = [i for i, x in enumerate(ids) if x is None]
         if missing:

@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,13 @@ _WORD = re.compile(r"\w+")
 _LEET = re.compile(rf"[\w{_SIGNS}]*(?:[^\W\d_][{_SIGNS}]+[^\W_]|[{_SIGNS}]+[^\W\d_])[\w{_SIGNS}]*")
 _SPACED = re.compile(rf"(?<![^\W_])(?:[\w{_SIGNS}][ .\-_*~/]{{1,2}}){{3,}}[\w{_SIGNS}](?![^\W_])")
 _STRETCHED = re.compile(r"\w*([^\W\d_])\1\1\w*")
+# Arrow's matcher says fast which texts need a closer look; letters beyond Latin-1 are not looked at for stretching
+_LATIN = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
+_HINTS = (
+    rf"\pL[{_SIGNS}]+[\pL\pN]|[{_SIGNS}]\pL",
+    rf"(?:[\pL\pN_{_SIGNS}][ .\-_*~/]{{1,2}}){{3,3}}[\pL\pN_{_SIGNS}]",
+    "|".join(c * 3 for c in _LATIN),
+)
 _SEPARATORS = set(" .-_*~/")
 _LETTERS = 28  # 0: word boundary, 1 to 26: a to z, 27: any other letter
 _CODE = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0 for b in range(256)], np.int64)
@@ -109,15 +117,12 @@ def decode(spelling: str, model: CharacterModel) -> list[str]:
     return "".join(reversed(letters)).split()
 
 
-def spellings(text: str) -> list[str]:
-    """Lower-cased parts of a text that may be disguised words."""
-    found = [m.group().strip("!*|+(") for m in _LEET.finditer(text)] if _HINT.search(text) else []
-    found += [m.group() for m in _SPACED.finditer(text)]
-    found += [m.group() for m in _STRETCHED.finditer(text)]
-    return [x for x in dict.fromkeys(found) if sum(map(str.isalpha, x)) >= 1 and len(x) > 2]
-
-
-_HINT = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W_]|[{_SIGNS}][^\W\d_]")
+def spellings(text: str, kinds: tuple[bool, bool, bool] = (True, True, True)) -> list[str]:
+    """Lower-cased parts of a text that may be disguised words: with signs, set apart, stretched."""
+    found = [m.group().strip("!*|+(") for m in _LEET.finditer(text)] if kinds[0] else []
+    found += [m.group() for m in _SPACED.finditer(text)] if kinds[1] else []
+    found += [m.group() for m in _STRETCHED.finditer(text)] if kinds[2] else []
+    return [x for x in dict.fromkeys(found) if any(map(str.isalpha, x)) and len(x) > 2]
 
 
 class Reader:
@@ -126,17 +131,25 @@ class Reader:
     def __init__(self, model: CharacterModel):
         self.model, self.memo = model, {}
 
-    def words(self, text: str | None) -> list[str]:
-        low = (text or "").lower()
-        words = _WORD.findall(low)
-        for s in spellings(low):
-            restored = self.memo.get(s)
-            if restored is None:
-                restored = decode(s, self.model)
-                if len(self.memo) < _MEMO and len(s) < 64:
-                    self.memo[s] = restored
-            words += restored
-        return words
+    def words(self, texts: pa.Array) -> Iterator[list[str]]:
+        """For each text; null counts as empty."""
+        low = [(t or "").lower() for t in texts.to_pylist()]
+        arrow = pa.array(low, pa.large_string())
+        hints = zip(*(pc.match_substring_regex(arrow, h).to_pylist() for h in _HINTS))
+        for text, kinds in zip(low, hints):
+            words = _WORD.findall(text)
+            if any(kinds):
+                for s in spellings(text, kinds):
+                    words += self._restored(s)
+            yield words
+
+    def _restored(self, spelling: str) -> list[str]:
+        found = self.memo.get(spelling)
+        if found is None:
+            found = decode(spelling, self.model)
+            if len(self.memo) < _MEMO and len(spelling) < 64:
+                self.memo[spelling] = found
+        return found
 
 
 def features_of(word: str) -> list[str]:
@@ -158,10 +171,14 @@ class Strengths:
         return s
 
     def summary(self, words: list[str]) -> list[float]:
-        of = self.of
-        counts = Counter(words)
-        strong = sorted(((of(w), n) for w, n in counts.items()), reverse=True)
-        strong = [x for x in strong if x[0] > 0]
+        known, strong = self.memo.get, []
+        for w, n in Counter(words).items():
+            s = known(w)
+            if s is None:
+                s = self.of(w)
+            if s:
+                strong.append((s, n))
+        strong.sort(reverse=True)
         top = [s for s, _ in strong[:4]] + [0.0] * 4
         many, total = sum(n for _, n in strong), max(1, len(words))
         weight = sum(s * n for s, n in strong)
@@ -225,17 +242,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 40_000, min_df: int
         return model
     lm = spark.sparkContext.broadcast(chars)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(CharacterModel(lm.value))
         for b in batches:
             seen: dict[str, list[int]] = {}
-            for text, y, half in zip(b["text"], b["y"], b["half"]):
-                for f in {f for w in set(reader.words(text)) for f in features_of(w)}:
+            for words, y, half in zip(reader.words(b.column("text")), b.column("y").to_pylist(), b.column("half").to_pylist()):
+                for f in {f for w in set(words) for f in features_of(w)}:
                     seen.setdefault(f, [0, 0, 0, 0])[2 * int(half) + int(y)] += 1
-            yield pd.DataFrame([(f, *n) for f, n in seen.items()], columns=["f", "a0", "a1", "b0", "b1"])
+            numbers = np.array(list(seen.values()), np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *map(pa.array, numbers.T)], names=["f", "a0", "a1", "b0", "b1"])
 
     sums = [F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")]
-    counted = rows.mapInPandas(count, "f string, a0 bigint, a1 bigint, b0 bigint, b1 bigint").groupBy("f").agg(*sums)
+    counted = rows.mapInArrow(count, "f string, a0 bigint, a1 bigint, b0 bigint, b1 bigint").groupBy("f").agg(*sums)
     one = (F.col("a1") + F.col("b1") + 0.5) / (ones + 1)
     odds = F.log(one) - F.log((F.col("a0") + F.col("b0") + 0.5) / (zeros + 1))
     counted = counted.filter(F.expr(f"a0 + a1 + b0 + b1 >= {min_df}") & (odds > 0.4))
@@ -249,14 +267,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 40_000, min_df: int
     }
     shared = spark.sparkContext.broadcast(tables)
 
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(CharacterModel(lm.value))
         other = {half: Strengths(shared.value[not half]) for half in (False, True)}
         for b in batches:
-            out = [other[bool(half)].summary(reader.words(t)) for t, half in zip(b["text"], b["half"])]
-            yield pd.DataFrame({"y": b["y"], "x": out})
+            out = [other[bool(half)].summary(words) for words, half in zip(reader.words(b.column("text")), b.column("half").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(out, pa.list_(pa.float64()))], names=["y", "x"])
 
-    points = rows.mapInPandas(summarise, "y int, x array<double>").toPandas()  # about ``sample`` rows
+    points = rows.mapInArrow(summarise, "y int, x array<double>").toPandas()  # about ``sample`` rows
     points = points.assign(k=points["x"].map(tuple)).sort_values(["y", "k"])
     return model | {"table": tables[None], "w": _fit_logistic(np.stack(points["x"]), points["y"].to_numpy(float))}
 
@@ -275,7 +293,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         if m["w"] is None:
             scores = np.full(batch.num_rows, m["prior"])
         else:
-            x = np.array([strengths.summary(reader.words(t)) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, -1)
+            x = np.array([strengths.summary(words) for words in reader.words(batch.column("text"))]).reshape(batch.num_rows, -1)
             scores = 1 / (1 + np.exp(-np.clip(x @ m["w"][:-1] + m["w"][-1], -35, 35))) if batch.num_rows else np.zeros(0)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
