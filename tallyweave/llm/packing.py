@@ -78,7 +78,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, ca
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 1024) -> DataFrame:
-    """Adds sequence_id (long) and offset to rows with ``length`` and ``ids``; sequences have no gaps."""
+    """Adds sequence_id (long) and offset to rows with ``length`` and ``ids``; sequences have no gaps.
+
+    ``ids`` leave as little-endian unsigned 32-bit numbers.
+    """
     dealt = pieces.repartition(F.xxhash64("doc_id", "piece", "ids"))
     dealt = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", F.xxhash64("ids")).withColumn("task", F.spark_partition_id())
 
@@ -88,6 +91,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 1024) -> Data
             placed = [fit.place(n) for n in batch.column("length").to_pylist()]
             base = batch.column("task")[0].as_py() << 40 if batch.num_rows else 0
             columns = {k: batch.column(k) for k in batch.schema.names if k != "task"}
+            ids = zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist())
+            columns["ids"] = pa.array([b if len(b) == 4 * n else np.frombuffer(b, "<u2").astype("<u4").tobytes() for b, n in ids], pa.binary())
             columns["sequence_id"] = pa.array([base + n for n, _ in placed], pa.int64())
             columns["offset"] = pa.array([o for _, o in placed], pa.int64())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

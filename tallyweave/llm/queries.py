@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyweave.llm import chunks, decontaminate, idcoder, knn, langid, lines, packing, simhash, suffixes, toxicity
 from tallyweave.llm.common import table
@@ -30,12 +26,6 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
-@F.pandas_udf(T.LongType())
-def _crc32_of_u16(ids: pd.Series) -> pd.Series:
-    """Unsigned crc32 of 16-bit ids widened to little-endian unsigned 32-bit integers."""
-    return pd.Series([zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes()) for b in ids], dtype="int64")
-
-
 @_query("op1_language_identification")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -48,7 +38,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     idcoder.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return idcoder.read(spark, path).select("doc_id", "start", "n_tokens", _crc32_of_u16("ids").alias("ids_crc32"))
+    return idcoder.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 _OP3_SQL = """
@@ -94,7 +84,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, kind="word", capacity=4096)
-    return pieces.select("doc_id", "piece", "start", "length", _crc32_of_u16("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 _OP8_SQL = r"""

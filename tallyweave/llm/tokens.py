@@ -40,8 +40,9 @@ class Encoder:
 
         self.tokenizer, self.kind, self.memo = Tokenizer.from_file(path), kind, {}
         # what these files normalise (case, composition, white space) doesn't occur in lower-cased ASCII pieces
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
+        self.plain = Tokenizer.from_file(path) if kind == "word" else self.tokenizer
+        if kind == "word":
+            self.plain.normalizer = None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         found = self._ids(_SEPARATOR[kind])
         self.separator = int(found[0]) if len(found) == 1 else None

@@ -81,7 +81,7 @@ def test_files(spark, documents, small):
     whole, at, want = Tokenizer.from_file(BYTE), 0, []
     for d, t in sorted(docs, key=lambda x: (x[0] is not None, x[0])):
         ids = whole.encode(t or "", add_special_tokens=False).ids + [2]
-        want.append((d, at, len(ids), np.array(ids, "<u2").tobytes()))
+        want.append((d, at, len(ids), np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == [(d, s, n, bytearray(b)) for d, s, n, b in want]
     empty = scratch_path(spark, "test-ids")
@@ -101,11 +101,11 @@ def check_packing(rows, docs, capacity):
     whole, want = Tokenizer.from_file(WORD), []
     for d, t in docs:
         ids = whole.encode(t or "", add_special_tokens=False).ids + [1]
-        want += [(d, k, a, zlib.crc32(np.array(ids[a : a + capacity], "<u2").tobytes())) for k, a in enumerate(range(0, len(ids), capacity))]
+        want += [(d, k, a, zlib.crc32(np.array(ids[a : a + capacity], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), capacity))]
     assert sorted(((r["doc_id"], r["piece"], r["start"], zlib.crc32(r["ids"])) for r in rows), key=repr) == sorted(want, key=repr)
     bins = {}
     for r in rows:
-        assert len(r["ids"]) == 2 * r["length"]
+        assert len(r["ids"]) == 4 * r["length"]
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for pieces in bins.values():
         at = 0
