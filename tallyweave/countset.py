@@ -71,14 +71,19 @@ class CountSet:
     # -- combination ---------------------------------------------------------------------------------------------
 
     def merge(self, *others: CountSet) -> CountSet:
-        """Union of bundles. A (sample, feature) cell present in several bundles is kept once."""
+        """Union of bundles. A cell, sample or feature of several bundles is kept once; it must be the same in all."""
         abund, meta, tax = self.abund, self.meta, self.tax
         for other in others:
             abund = abund.unionByName(other.abund)
             meta = meta.unionByName(other.meta, allowMissingColumns=True)
             tax = tax.unionByName(other.tax, allowMissingColumns=True)
-        abund = abund.groupBy("sample_id", "feature_id").agg(F.max("count").alias("count"))
-        return CountSet(abund, meta.dropDuplicates(["sample_id"]), tax.dropDuplicates(["feature_id"]))
+        cells = abund.groupBy("sample_id", "feature_id").agg(F.max("count").alias("count"), F.min("count").alias("_least"))
+        meta, tax = meta.distinct(), tax.distinct()
+        twice = lambda df, key: df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        for name, bad in (("counts", cells.filter("count <> _least")), ("samples", twice(meta, "sample_id")), ("features", twice(tax, "feature_id"))):
+            if not bad.isEmpty():
+                raise ValueError(f"bundles disagree about {name}, such as {bad.first().asDict()}")
+        return CountSet(cells.drop("_least"), meta, tax)
 
     def melt(self) -> DataFrame:
         """One row per non-zero cell with all metadata and ranks."""

@@ -85,7 +85,10 @@ def quantiles(
 
 def benjamini_hochberg(df: DataFrame, p: str, families: Sequence[str] = (), out: str = "p_adjusted") -> DataFrame:
     """False-discovery-rate adjusted p-values within each family; null p stays null."""
-    families = list(families)
+    # as one struct, a family with null columns equals itself
+    columns = df.columns
+    df = df.withColumn("_f", F.struct(*families)) if families else df
+    families = ["_f"] if families else []
     ranked = running_counts(counted_values(df, families, p), families, p)
     ranked = ranked.withColumn("_raw", F.col(p) * F.col("total") / F.col("upto"))
     ranked = ranked.withColumn("_b", magnitude_bucket(p)).withColumn("_k", F.lit(0))
@@ -97,7 +100,7 @@ def benjamini_hochberg(df: DataFrame, p: str, families: Sequence[str] = (), out:
     adjusted = ranked.join(later, [*by_family, "_b"]).select(
         *families, p, F.least(F.min("_raw").over(inside), F.col("_later"), F.lit(1.0)).alias(out)
     )
-    return df.join(adjusted, [*families, p], "left")
+    return df.join(adjusted, [*families, p], "left").select(*[c for c in columns if c != out], out)
 
 
 def bonferroni(df: DataFrame, p: str, families: Sequence[str] = (), out: str = "p_adjusted") -> DataFrame:
@@ -106,9 +109,10 @@ def bonferroni(df: DataFrame, p: str, families: Sequence[str] = (), out: str = "
     if not families:
         m = df.agg(F.count(p).alias("m")).scalar()
         return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.col(p) * m, F.lit(1.0))))
-    sizes = df.groupBy(*families).agg(F.count(p).alias("_m"))
+    df = df.withColumn("_f", F.struct(*families))
+    sizes = df.groupBy("_f").agg(F.count(p).alias("_m"))
     capped = F.when(F.col(p).isNotNull(), F.least(F.col(p) * F.col("_m"), F.lit(1.0)))
-    return df.join(sizes, families).withColumn(out, capped).drop("_m")
+    return df.join(sizes, "_f").withColumn(out, capped).drop("_m", "_f")
 
 
 def global_index(df: DataFrame, order: Sequence[Column], out: str = "idx", partitions: int | None = None) -> DataFrame:

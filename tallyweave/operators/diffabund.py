@@ -9,37 +9,40 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import direction, parse_coefficient
 from tallyweave.functions.distributions import chi2_pvalue, normal_pvalue
-from tallyweave.functions.ranking import benjamini_hochberg, quantiles
+from tallyweave.functions.ranking import benjamini_hochberg, global_index, quantiles
 from tallyweave.session import checkpointed, spread
 
 _CELLS_PER_BLOCK = 1_000_000
 _LOG2_HALF = -1.0
 
 
-def size_factors(abund: DataFrame, kind: str = "auto") -> DataFrame:
+def size_factors(abund: DataFrame, kind: str) -> DataFrame:
     """Median ratio to the geometric mean of each feature.
 
-    ``ratio`` uses features present in every sample; ``poscounts`` uses positive counts, with the log sum divided by
-    all samples, and centres the factors; ``auto`` is ``ratio`` when at least one feature allows it.
+    ``ratio`` uses features present in every sample and raises when there is none; ``poscounts`` uses positive counts,
+    with the log sum divided by all samples, and centres the factors.
     """
+    if kind not in ("ratio", "poscounts"):
+        raise ValueError(f"unknown kind of size factors: {kind}")
     abund = abund.filter(F.col("count") > 0)
     n = abund.agg(F.count_distinct("sample_id").alias("n")).scalar()
     logs = abund.groupBy("feature_id").agg(F.count(F.lit(1)).alias("seen"), F.sum(F.ln("count")).alias("log_sum"))
     logs = logs.withColumn("n", n)
-    if kind == "auto":
-        kind = "ratio" if logs.filter(F.col("seen") == F.col("n")).limit(1).count() else "poscounts"
     if kind == "ratio":
         logs = logs.filter(F.col("seen") == F.col("n"))
+        if logs.isEmpty():
+            raise ValueError("no feature occurs in every sample; use poscounts")
     logs = logs.select("feature_id", (F.col("log_sum") / F.col("n")).alias("log_mean"))
     ratios = abund.join(logs, "feature_id").select("sample_id", (F.ln("count") - F.col("log_mean")).alias("ratio"))
     middle = quantiles(ratios, ["sample_id"], "ratio", [0.5], ["log_factor"])
@@ -106,12 +109,16 @@ def _moments(_key, cells: pd.DataFrame, design: pd.DataFrame) -> pd.DataFrame:
 
 
 def _weighted_fit(k: np.ndarray, x: np.ndarray, s: np.ndarray, alpha: np.ndarray, steps: int = 60):
-    """Iterated weighted least squares for all rows of ``k``; a tiny ridge keeps empty groups finite."""
+    """Iterated weighted least squares for all rows of ``k``; a tiny ridge keeps empty groups finite.
+
+    The last value says for each row whether its coefficients had come to rest.
+    """
     p = x.shape[1]
     ridge = 1e-6 * np.eye(p)
     beta = np.zeros((len(k), p))
     beta[:, 0] = np.log(np.maximum((k / s).mean(axis=1), 1e-6))
     a = alpha[:, None]
+    settled = np.zeros(len(k), bool)
     for _ in range(steps):
         eta = np.clip(beta @ x.T, -30, 30)
         mu = np.maximum(s * np.exp(eta), 1e-8)
@@ -121,6 +128,7 @@ def _weighted_fit(k: np.ndarray, x: np.ndarray, s: np.ndarray, alpha: np.ndarray
         new = np.linalg.solve(info, np.einsum("fs,si->fi", w * z, x)[..., None])[..., 0]
         step = np.clip(new - beta, -3, 3)
         beta = beta + step
+        settled = np.abs(step).max(axis=1) < 1e-8
         if np.abs(step).max() < 1e-9:
             break
     mu = np.maximum(s * np.exp(np.clip(beta @ x.T, -30, 30)), 1e-8)
@@ -128,7 +136,7 @@ def _weighted_fit(k: np.ndarray, x: np.ndarray, s: np.ndarray, alpha: np.ndarray
     info = np.einsum("fs,si,sj->fij", w, x, x) + ridge
     se = np.sqrt(np.einsum("fii->fi", np.linalg.inv(info)))
     loglik = (k * np.log(mu) - (k + 1.0 / a) * np.log1p(a * mu)).sum(axis=1)
-    return beta, se, loglik
+    return beta, se, loglik, settled
 
 
 def _wald(names: Sequence[str]):
@@ -137,9 +145,9 @@ def _wald(names: Sequence[str]):
             return pd.DataFrame()
         features, k, x, s = _dense(cells, design)
         alpha = cells.groupby("feature_id")["dispersion"].first().loc[features].to_numpy()
-        beta, se, _ = _weighted_fit(k, x, s, alpha)
+        beta, se, _, settled = _weighted_fit(k, x, s, alpha)
         parts = [
-            pd.DataFrame({"feature_id": features, "coefficient": name, "log2fc": beta[:, j] / math.log(2), "lfc_se": se[:, j] / math.log(2)})
+            pd.DataFrame({"feature_id": features, "coefficient": name, "log2fc": beta[:, j] / math.log(2), "lfc_se": se[:, j] / math.log(2), "converged": settled})
             for j, name in enumerate(names)
             if j > 0
         ]
@@ -154,11 +162,10 @@ def _ratio_test(reduced: int):
             return pd.DataFrame()
         features, k, x, s = _dense(cells, design)
         alpha = cells.groupby("feature_id")["dispersion"].first().loc[features].to_numpy()
-        full_beta, _, full = _weighted_fit(k, x, s, alpha)
-        _, _, small = _weighted_fit(k, x[:, :reduced], s, alpha)
-        return pd.DataFrame(
-            {"feature_id": features, "statistic": np.maximum(2 * (full - small), 0.0), "log2fc": full_beta[:, -1] / math.log(2)}
-        )
+        full_beta, _, full, settled = _weighted_fit(k, x, s, alpha)
+        _, _, small, rested = _weighted_fit(k, x[:, :reduced], s, alpha)
+        statistic = np.maximum(2 * (full - small), 0.0)
+        return pd.DataFrame({"feature_id": features, "statistic": statistic, "log2fc": full_beta[:, -1] / math.log(2), "converged": settled & rested})
 
     return block
 
@@ -196,20 +203,23 @@ def dispersions(cells: DataFrame, design: DataFrame, blocks: int, width: int) ->
 def _prepared(abund: DataFrame, design: DataFrame, factors: DataFrame | None, width: int):
     cells = abund.filter(F.col("count") > 0).join(design.select("sample_id"), "sample_id", "left_semi")
     cells = checkpointed(cells.select("sample_id", "feature_id", "count"))
-    design = checkpointed(design.join(factors if factors is not None else size_factors(cells), "sample_id"))
+    design = checkpointed(design.join(factors if factors is not None else size_factors(cells, "poscounts"), "sample_id"))
     blocks = _blocks(cells, design)
     return cells, design, blocks, dispersions(cells, design, blocks, width)
 
 
 def wald_tests(abund: DataFrame, design: DataFrame, names: Sequence[str], factors: DataFrame | None = None) -> DataFrame:
-    """One row per feature and non-intercept coefficient, adjusted within each coefficient."""
+    """One row per feature and non-intercept coefficient, adjusted within each coefficient.
+
+    ``converged`` is false where a fit had not come to rest; its numbers are those of the last step.
+    """
     cells, design, blocks, disp = _prepared(abund, design, factors, len(names))
     fits = _per_block(
         cells.join(disp.select("feature_id", "dispersion"), "feature_id"),
         design,
         blocks,
         _wald(names),
-        "feature_id string, coefficient string, log2fc double, lfc_se double",
+        "feature_id string, coefficient string, log2fc double, lfc_se double, converged boolean",
     )
     out = fits.join(disp, "feature_id").withColumn("statistic", F.try_divide(F.col("log2fc"), F.col("lfc_se")))
     out = checkpointed(out.withColumn("p_value", normal_pvalue("statistic")))
@@ -226,20 +236,19 @@ def likelihood_ratio_tests(
         design,
         blocks,
         _ratio_test(reduced),
-        "feature_id string, statistic double, log2fc double",
+        "feature_id string, statistic double, log2fc double, converged boolean",
     )
     out = fits.join(disp, "feature_id").withColumn("p_value", chi2_pvalue("statistic", F.lit(float(len(names) - reduced))))
     return benjamini_hochberg(checkpointed(out), "p_value", out="padj")
 
 
 def shrink(results: DataFrame, upper: float = 0.95) -> DataFrame:
-    """Fold changes drawn to zero by a normal prior whose width matches the upper quantile of the observed sizes.
-
-    1.959964 is the two-sided 5 % point of the normal distribution; it belongs to ``upper`` = 0.95.
-    """
+    """Fold changes drawn to zero by a normal prior whose width matches the ``upper`` quantile of the observed sizes."""
+    if not 0 < upper < 1:
+        raise ValueError("upper is a quantile between 0 and 1")
     sized = results.withColumn("_size", F.abs("log2fc"))
     width = quantiles(sized, ["coefficient"], "_size", [upper], ["_q"])
-    tau2 = F.pow(F.col("_q") / F.lit(1.959964), F.lit(2))
+    tau2 = F.pow(F.col("_q") / F.lit(NormalDist().inv_cdf((1 + upper) / 2)), F.lit(2))
     joined = results.join(width, "coefficient")
     share = tau2 / (tau2 + F.col("lfc_se") * F.col("lfc_se"))
     return joined.withColumn("log2fc_shrunk", F.col("log2fc") * share).drop("_q")
@@ -260,33 +269,39 @@ def annotate(results: DataFrame, tax: DataFrame, alpha: float | None = 0.05, min
 # -- time profiles -------------------------------------------------------------------------------------------------
 
 
-def design_cells(meta: DataFrame, group: str, time: str, most: int = 10_000) -> list[tuple[object, object]]:
-    """The (group, time) cells of a design in order. They become columns, so more than ``most`` are refused."""
-    rows = meta.select(group, time).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} design cells; pass coarser time points or groups")
-    return sorted((r[0], r[1]) for r in rows)
-
-
-def profiles(values: DataFrame, meta: DataFrame, group: str, time: str, cells: Sequence[tuple[object, object]]) -> DataFrame:
-    """Per feature the z-scored mean stabilised value of each listed (group, time) cell, absent counts included."""
-    wanted = [F.count_if((F.col(group) == F.lit(g)) & (F.col(time) == F.lit(t))) for g, t in cells]
-    sizes = dict(zip(cells, meta.agg(*wanted).first()))
-    joined = values.join(meta.select("sample_id", group, time), "sample_id")
-    means: list[Column] = []
-    for g, t in cells:
-        here = (F.col(group) == F.lit(g)) & (F.col(time) == F.lit(t))
-        n = sizes[(g, t)]
-        present = F.count_if(here)
-        total = F.coalesce(F.sum(F.when(here, F.col("value"))), F.lit(0.0))
-        means.append((total + (F.lit(n) - present) * F.lit(_LOG2_HALF)) / F.lit(float(max(n, 1))))
-    raw = joined.groupBy("feature_id").agg(F.array(*means).alias("m"))
-    size = F.lit(float(len(cells)))
-    mean = F.aggregate("m", F.lit(0.0), lambda a, v: a + v) / size
-    raw = raw.withColumn("_mean", mean)
-    var = F.aggregate("m", F.lit(0.0), lambda a, v: a + (v - F.col("_mean")) * (v - F.col("_mean"))) / (size - 1)
-    raw = raw.withColumn("_sd", F.sqrt(var)).filter(F.col("_sd") > 0)
-    return raw.select("feature_id", F.transform("m", lambda v: (v - F.col("_mean")) / F.col("_sd")).alias("profile"))
+def design_cells(meta: DataFrame, group: str, time: str) -> DataFrame:
+    """``(group, time, cell, samples)``: the (group, time) cells of a design, numbered from 0 in order."""
+    sizes = meta.groupBy(F.col(group).alias("group"), F.col(time).alias("time")).agg(F.count(F.lit(1)).alias("samples"))
+    numbered = global_index(sizes, [F.col("group"), F.col("time")], "cell")
+    return numbered.withColumn("cell", (F.col("cell") - 1).cast("int"))
+
+
+def profiles(values: DataFrame, meta: DataFrame, group: str, time: str, cells: DataFrame) -> DataFrame:
+    """Per feature the z-scored mean stabilised value of each design cell, absent counts included.
+
+    Means are summed in long form, by (feature, cell). A cell in which a feature never occurs has the value of an absent
+    count, so it needs no row; the array of a feature is as long as the design has cells.
+    """
+    cells = checkpointed(cells)
+    samples = meta.select("sample_id", F.col(group).alias("group"), F.col(time).alias("time")).join(cells, ["group", "time"])
+    joined = values.join(samples.select("sample_id", "cell", "samples"), "sample_id")
+    seen = joined.groupBy("feature_id", "cell", "samples").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("present"))
+    mean = (F.col("total") + (F.col("samples") - F.col("present")) * F.lit(_LOG2_HALF)) / F.col("samples")
+    seen = seen.select("feature_id", F.struct("cell", mean.alias("m")).alias("at"))
+    count = cells.count()
+    raw = seen.groupBy("feature_id").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    empty = F.lit(count) - F.size("ats")
+    add = lambda f: F.aggregate("ats", F.lit(0.0), lambda a, x: a + f(x["m"]))
+    raw = raw.withColumn("_mean", (add(lambda m: m) + empty * F.lit(_LOG2_HALF)) / F.lit(float(max(count, 1))))
+    square = lambda m: (m - F.col("_mean")) * (m - F.col("_mean"))
+    raw = raw.withColumn("_sd", F.sqrt(F.try_divide(add(square) + empty * square(F.lit(_LOG2_HALF)), F.lit(float(count - 1)))))
+    raw = raw.filter(F.col("_sd") > 0)
+    z = lambda m: (m - F.col("_mean")) / F.col("_sd")
+    gap = lambda n: F.array_repeat(z(F.lit(_LOG2_HALF)), n.cast("int"))
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("ats", i - 1)["cell"])
+    parts = F.transform("ats", lambda x, i: F.concat(gap(x["cell"] - before(i) - 1), F.array(z(x["m"]))))
+    tail = gap(F.lit(count - 1) - F.element_at("ats", -1)["cell"])
+    return raw.select("feature_id", F.concat(F.flatten(parts), tail).alias("profile"))
 
 
 def pattern_clusters(profile: DataFrame, k: int = 6, min_size: int = 5, seed: int = 1) -> DataFrame:
@@ -298,9 +313,8 @@ def pattern_clusters(profile: DataFrame, k: int = 6, min_size: int = 5, seed: in
     return found.join(large, "cluster")
 
 
-def cluster_summary(clusters: DataFrame, cells: Sequence[tuple[object, object]]) -> DataFrame:
-    """Mean profile of each cluster, one row per cell."""
+def cluster_summary(clusters: DataFrame, cells: DataFrame) -> DataFrame:
+    """Mean profile of each cluster, one row per design cell."""
     points = clusters.select("cluster", "size", F.posexplode("profile").alias("cell", "z"))
-    names = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(t).alias("time")) for g, t in cells])
     points = points.groupBy("cluster", "size", "cell").agg(F.avg("z").alias("z"))
-    return points.select("cluster", "size", F.get(names, F.col("cell")).alias("at"), "z").select("cluster", "size", "at.*", "z")
+    return points.join(cells, "cell").select("cluster", "size", "group", "time", "z")

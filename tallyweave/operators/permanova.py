@@ -78,10 +78,11 @@ def permanova(
     """One row per comparison: ``df, sums_of_sqs, f_model, r2, p_value``.
 
     ``dist(sample_a, sample_b, d)`` and ``members(comparison, sample_id, grp)``. Squared distances are tiled by sample
-    block and meet blocks of permuted labels; the sums per (permutation, label) are added up over the tiles.
+    block and meet blocks of permuted labels; the sums per (permutation, label) are added up over the tiles. Members
+    without any distance take no part. ``dist`` is read twice, so it should be a stored table.
     """
     members = members.select(F.col("comparison").cast("string").alias("comparison"), "sample_id", F.col("grp").cast("string").alias("grp"))
-    members = checkpointed(members)
+    members = checkpointed(members.join(_measured(dist), "sample_id", "left_semi"))
     sizes = members.groupBy("comparison", "grp").agg(F.count(F.lit(1)).alias("n_g"))
     sizes = sizes.withColumn("code", F.row_number().over(Window.partitionBy("comparison").orderBy("grp")))
     overall = sizes.groupBy("comparison").agg(F.sum("n_g").alias("n"), F.count(F.lit(1)).alias("g"))
@@ -153,24 +154,37 @@ def permanova(
     )
 
 
+def _measured(dist: DataFrame) -> DataFrame:
+    """The samples that have distances."""
+    return dist.select(F.explode(F.array("sample_a", "sample_b")).alias("sample_id")).distinct()
+
+
 def single_comparison(meta: DataFrame, group: str, name: str = "all") -> DataFrame:
     return meta.select(F.lit(name).alias("comparison"), "sample_id", F.col(group).alias("grp"))
 
 
 def pairwise_members(meta: DataFrame, *group: str, sep: str = "_") -> tuple[DataFrame, DataFrame]:
-    """All pairs of groups as ``(pairs, members)``; pairs keep the group columns of both sides as ``*1`` and ``*2``."""
-    groups = meta.select(*group).distinct()
-    pairs = pairs_of_groups(groups, [F.col(g) for g in group])
-    sides = {f"{g}{i}": F.col(f"{s}.{g}") for i, s in ((1, "_l"), (2, "_r")) for g in group}
-    pairs = pairs.select(*[c.alias(n) for n, c in sides.items()])
-
-    def label(i: int) -> Column:
-        return F.concat_ws(sep, *[F.col(f"{g}{i}").cast("string") for g in group])
+    """All pairs of groups as ``(pairs, members)``.
 
-    pairs = pairs.withColumns({"set1": label(1), "set2": label(2)}).withColumn("comparison", F.concat_ws(" vs ", "set1", "set2"))
-    per_side = pairs.select("comparison", F.explode(F.array("set1", "set2")).alias("grp"))
-    labelled = meta.select("sample_id", F.concat_ws(sep, *[F.col(g).cast("string") for g in group]).alias("grp"))
-    return pairs.drop("set1", "set2"), per_side.join(labelled, "grp")
+    Groups are numbered in the order of their columns (nulls are a level of their own) and compared by number;
+    ``pairs`` names them in ``name`` and keeps the group columns of both sides as ``*1`` and ``*2``.
+    """
+    level = F.struct(*group)
+    levels = meta.select(level.alias("level")).distinct().withColumn("_k", F.lit(0))
+    number = F.lpad(F.row_number().over(Window.partitionBy("_k").orderBy("level")).cast("string"), 10, "0")
+    levels = checkpointed(levels.select("level", number.alias("grp")))  # one row per group
+    pairs = pairs_of_groups(levels, [F.col("grp")])
+    text = lambda side: F.concat_ws(sep, *[F.col(f"{side}.level.{g}").cast("string") for g in group])
+    sides = [F.col(f"{side}.level.{g}").alias(f"{g}{i}") for i, side in ((1, "_l"), (2, "_r")) for g in group]
+    pairs = pairs.select(
+        *sides,
+        F.concat("_l.grp", F.lit("/"), "_r.grp").alias("comparison"),
+        F.concat_ws(" vs ", text("_l"), text("_r")).alias("name"),
+        F.array("_l.grp", "_r.grp").alias("_sides"),
+    )
+    per_side = pairs.select("comparison", F.explode("_sides").alias("grp"))
+    labelled = meta.select("sample_id", level.alias("level")).join(levels, "level").select("sample_id", "grp")
+    return pairs.drop("_sides"), per_side.join(labelled, "grp")
 
 
 def stars(p: str) -> Column:
@@ -188,12 +202,12 @@ def pairwise_permanova(dist: DataFrame, meta: DataFrame, *group: str, permutatio
     pairs, members = pairwise_members(meta, *group)
     tested = checkpointed(permanova(dist, members, permutations, seed))
     out = bonferroni(tested, "p_value", out="p_adjusted").withColumn("sig", stars("p_adjusted"))
-    return pairs.join(out, "comparison").withColumnRenamed("comparison", "pairs")
+    return pairs.join(out, "comparison").drop("comparison").withColumnRenamed("name", "pairs")
 
 
 def dispersion(dist: DataFrame, meta: DataFrame, group: str) -> DataFrame:
-    """Distance of each sample to the centroid of its group, from the distances alone."""
-    own = meta.select("sample_id", F.col(group).alias("grp"))
+    """Distance of each sample to the centroid of its group, from the distances alone; samples without any are left out."""
+    own = meta.select("sample_id", F.col(group).alias("grp")).join(_measured(dist), "sample_id", "left_semi")
     a = own.select(F.col("sample_id").alias("sample_a"), "grp")
     b = own.select(F.col("sample_id").alias("sample_b"), "grp")
     inside = dist.join(a, "sample_a").join(b, ["sample_b", "grp"]).withColumn("d2", F.col("d") * F.col("d"))

@@ -144,12 +144,15 @@ def consecutive(df: DataFrame, first: str, second: str, levels: Sequence) -> Dat
     return df.filter(F.try_element_at(F.create_map(*pairs), F.col(first)) == F.col(second))
 
 
-def nest(df: DataFrame, key: str, rows_per_cell: int = 1000) -> DataFrame:
-    """Rows of each key as arrays of structs; a large group is spread over several cells of the same key."""
+def nest(df: DataFrame, key: str, cells: int = 1) -> DataFrame:
+    """Rows of each key as arrays of structs in ``cells`` numbered cells, as many for every key, whatever its size.
+
+    Rows are dealt out in turn, equal ones too, so a cell holds about its share; cells without rows are absent. Choose
+    ``cells`` so that the largest key divided by it fits into a row.
+    """
     rest = [c for c in df.columns if c != key]
-    sizes = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_cell)).alias("_cells"))
-    cell = F.pmod(F.xxhash64(*rest), F.col("_cells"))
-    return df.join(sizes, key).groupBy(key, cell.alias("cell")).agg(F.collect_list(F.struct(*rest)).alias("data"))
+    cell = F.pmod(F.monotonically_increasing_id(), F.lit(cells)).cast("int")
+    return df.withColumn("cell", cell).groupBy(key, "cell").agg(F.collect_list(F.struct(*rest)).alias("data"))
 
 
 def unnest(df: DataFrame, key: str) -> DataFrame:

@@ -37,7 +37,7 @@ _FILTERED = with_("reads") + """, t0 AS (SELECT *, list_position(list_transform(
     t2 AS (SELECT sample_id, read_id, mate, substr(seq, 1, target) AS seq, qual[1:target] AS qual FROM t1 WHERE size > 0 AND size >= target),
     t3 AS (SELECT * FROM t2 WHERE list_sum(list_transform(qual, lambda q: pow(10.0e0, q / -10.0e0))) <= CASE mate WHEN 1 THEN 1.5e0 ELSE 2.0e0 END),
     bk AS (SELECT DISTINCT substr(seq, CAST(i AS INTEGER), 8) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 6)) AS i
-      FROM (SELECT regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM benchmark))),
+      FROM (SELECT unnest([seq, reverse(translate(seq, 'ACGT', 'TGCA'))]) AS seq FROM (SELECT regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM benchmark)))),
     rk AS (SELECT DISTINCT sample_id, read_id, mate, substr(seq, CAST(i AS INTEGER), 8) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - 6)) AS i FROM t3)),
     bad AS (SELECT DISTINCT sample_id, read_id FROM (SELECT sample_id, read_id, mate, count(*) AS c FROM rk JOIN bk USING (kmer) GROUP BY 1, 2, 3) WHERE c >= 2),
     t4 AS (SELECT t3.* FROM t3 WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.sample_id = t3.sample_id AND bad.read_id = t3.read_id)),
@@ -73,22 +73,32 @@ _PARENTS = """, pool AS (SELECT seq, CAST(sum(count) AS BIGINT) AS n, length(seq
     parents AS (SELECT seq, parent FROM cand WHERE rk = 1)"""
 
 
-@query(
-    "r4_error_rates",
-    with_("reads")
-    + ", fwd AS (SELECT * FROM reads WHERE mate = 1), u AS (SELECT sample_id, seq, count(*) AS count FROM fwd GROUP BY 1, 2)"
-    + _PARENTS
-    + """ SELECT ref, obs, q, count(*) AS n FROM (SELECT unnest(string_split(coalesce(parent, seq), '')) AS ref,
-      unnest(string_split(seq, '')) AS obs, unnest(qual) AS q FROM fwd LEFT JOIN parents USING (seq)) GROUP BY 1, 2, 3""",
-)
+def _parents_of(mate: int) -> str:
+    """The parents of one mate's reads as ``parents<mate>``."""
+    own = _PARENTS.replace("pool", f"pool{mate}").replace("cand", f"cand{mate}").replace("parents", f"parents{mate}").replace("FROM u GROUP", f"FROM u{mate} GROUP")
+    return f", u{mate} AS (SELECT sample_id, seq, count(*) AS count FROM reads WHERE mate = {mate} GROUP BY 1, 2)" + own
+
+
+def _rates_of(mate: int) -> str:
+    return f"""SELECT {mate} AS mate, ref, obs, q, count(*) AS n FROM (SELECT unnest(string_split(coalesce(parent, seq), '')) AS ref,
+      unnest(string_split(seq, '')) AS obs, unnest(qual) AS q FROM reads LEFT JOIN parents{mate} USING (seq) WHERE mate = {mate}) GROUP BY ALL"""
+
+
+@query("r4_error_rates", with_("reads") + _parents_of(1) + _parents_of(2) + " " + _rates_of(1) + " UNION ALL " + _rates_of(2))
 def r4(spark, sf):
-    return A.error_rates(standin.reads(spark, sf).filter(F.col("mate") == 1))
+    return A.error_rates(standin.reads(spark, sf))
+
+
+_CHAINS = (
+    (_UNIQUES + _PARENTS).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, chain AS (SELECT seq, parent AS variant FROM parents UNION ALL SELECT c.seq, p.parent FROM chain c JOIN parents p ON p.seq = c.variant),
+    roots AS (SELECT seq, variant FROM chain WHERE variant NOT IN (SELECT seq FROM parents))"""
+)
 
 
 @query(
     "r5_denoise",
-    _UNIQUES + _PARENTS
-    + " SELECT sample_id, coalesce(parent, seq) AS seq, CAST(sum(count) AS BIGINT) AS count FROM u LEFT JOIN parents USING (seq) GROUP BY 1, 2",
+    _CHAINS + " SELECT sample_id, coalesce(variant, seq) AS seq, CAST(sum(count) AS BIGINT) AS count FROM u LEFT JOIN roots USING (seq) GROUP BY 1, 2",
 )
 def r5(spark, sf):
     return A.denoise(_uniques(spark, sf))
@@ -144,24 +154,28 @@ _CLASSIFY = """WITH rk AS (SELECT DISTINCT lineage, substr(text, CAST(i AS INTEG
       (SELECT lang || ';' || source AS lineage, text, unnest(range(1, length(text) - 6)) AS i FROM documents)),
     lt AS (SELECT count(DISTINCT lang || ';' || source) AS t FROM documents),
     wt AS (SELECT kmer, CAST(round(1000.0e0 * ln(any_value(t) / CAST(count(*) AS DOUBLE))) AS BIGINT) AS weight FROM rk, lt GROUP BY 1),
-    qk AS (SELECT DISTINCT id, substr(text, CAST(i AS INTEGER), 8) AS kmer FROM
-      (SELECT conv_id || '.' || turn AS id, text, unnest(range(1, length(text) - 6)) AS i FROM conversations)),
-    sc AS (SELECT id, CAST('0x' || substr(md5('1/' || kmer), 1, 8) AS BIGINT) % 20 AS subset, lineage, sum(weight) AS score
+    asked AS (SELECT conv_id || '.' || turn AS id, text FROM conversations UNION ALL SELECT 'short', 'abc'),
+    qk AS (SELECT DISTINCT id, CAST('0x' || substr(md5('1/' || kmer), 1, 8) AS BIGINT) % 20 AS subset, kmer FROM
+      (SELECT id, substr(text, CAST(i AS INTEGER), 8) AS kmer FROM (SELECT *, unnest(range(1, length(text) - 6)) AS i FROM asked))),
+    fi AS (SELECT id, count(DISTINCT subset) AS filled FROM qk LEFT JOIN wt USING (kmer) WHERE weight IS NULL OR weight > 0 GROUP BY 1),
+    sc AS (SELECT id, subset, lineage, sum(weight) AS score
       FROM qk JOIN rk USING (kmer) JOIN wt USING (kmer) WHERE weight > 0 GROUP BY 1, 2, 3),
     wn AS (SELECT id, subset, lineage, row_number() OVER (PARTITION BY id, subset ORDER BY score DESC, lineage) AS rk FROM sc),
     vo AS (SELECT id, lineage, count(*) AS votes FROM wn WHERE rk = 1 GROUP BY 1, 2),
     be AS (SELECT id, lineage AS best FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, lineage) AS rk FROM vo) WHERE rk = 1),
-    sh AS (SELECT id, best, sum(CASE WHEN split_part(lineage, ';', 1) = split_part(best, ';', 1) THEN votes ELSE 0 END) / 20.0e0 AS lang_confidence,
-      sum(CASE WHEN lineage = best THEN votes ELSE 0 END) / 20.0e0 AS source_confidence FROM vo JOIN be USING (id) GROUP BY 1, 2)
+    sh AS (SELECT id, best, sum(CASE WHEN split_part(lineage, ';', 1) = split_part(best, ';', 1) THEN votes ELSE 0 END) / CAST(any_value(filled) AS DOUBLE) AS lang_confidence,
+      sum(CASE WHEN lineage = best THEN votes ELSE 0 END) / CAST(any_value(filled) AS DOUBLE) AS source_confidence FROM vo JOIN be USING (id) JOIN fi USING (id) GROUP BY 1, 2),
+    al AS (SELECT id, best, coalesce(lang_confidence, 0) AS lang_confidence, coalesce(source_confidence, 0) AS source_confidence FROM (SELECT DISTINCT id FROM asked) LEFT JOIN sh USING (id))
     SELECT id, CASE WHEN lang_confidence >= 0.6e0 THEN split_part(best, ';', 1) ELSE 'unclassified_root' END AS lang,
-    CASE WHEN source_confidence >= 0.6e0 THEN split_part(best, ';', 2) ELSE 'unclassified_' || split_part(best, ';', 1) END AS source,
-    lang_confidence, source_confidence FROM sh"""
+    CASE WHEN source_confidence >= 0.6e0 THEN split_part(best, ';', 2) ELSE 'unclassified_' || coalesce(split_part(best, ';', 1), 'root') END AS source,
+    lang_confidence, source_confidence FROM al"""
 
 
 def _classified(spark, sf):
     asked = parallel_scan(table(spark, sf, "conversations")).select(
         F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("seq")
     )
+    asked = asked.union(spark.createDataFrame([("short", "abc")], "id string, seq string"))  # too short for a k-mer
     known = parallel_scan(table(spark, sf, "documents")).select("lang", "source", F.col("text").alias("seq"))
     return A.classify(asked, known, ["lang", "source"])
 

@@ -164,13 +164,12 @@ def _permanova_sql(members: str, permutations: int, seed: str) -> str:
 @query(
     "d5_permanova",
     with_("dense", "meta") + _bray_sql("dense")
-    + _permanova_sql("SELECT 'all' AS comparison, sample_id, grp FROM meta WHERE sample_id IN (SELECT sample_id FROM dense)", 99, "5")
+    + _permanova_sql("SELECT 'all' AS comparison, sample_id, grp FROM meta WHERE sample_id IN (SELECT sample_id FROM dense)", 999, "5")
     + " SELECT comparison, df, round(sums_of_sqs, 7) AS sums_of_sqs, round(f_model, 6) AS f_model, round(r2, 7) AS r2, round(p_value, 9) AS p_value FROM tested",
 )
 def d5(spark, sf):
     abund, meta = standin.dense(spark, sf), standin.meta(spark, sf)
-    members = permanova.single_comparison(meta.join(abund, "sample_id", "left_semi"), "grp")
-    out = permanova.permanova(distance.bray_curtis(abund), members, permutations=99, seed=5)
+    out = permanova.permanova(checkpointed(distance.bray_curtis(abund)), permanova.single_comparison(meta, "grp"), permutations=999, seed=5)
     return _r(_r(out, 7, "sums_of_sqs", "r2"), 6, "f_model").withColumn("p_value", F.round("p_value", 9))
 
 
@@ -186,9 +185,9 @@ _COURSE_PAIRS = """course_pairs AS (SELECT a.room AS room1, a.day AS day1, b.roo
 _PAIRWISE = (
     with_("course", "course_meta") + _bray_sql("course") + ", " + _COURSE_PAIRS
     + _permanova_sql(
-        """SELECT p.pairs AS comparison, sample_id, m.room || '_' || m.day AS grp FROM course_pairs p
+        """SELECT p.pairs AS comparison, sample_id, m.room || '/' || lpad(CAST(m.day + 100 AS VARCHAR), 5, '0') AS grp FROM course_pairs p
         JOIN course_meta m ON (m.room = p.room1 AND m.day = p.day1) OR (m.room = p.room2 AND m.day = p.day2)""",
-        99,
+        999,
         "6",
     )
     + """, pairwise AS (SELECT c.*, df, sums_of_sqs, f_model, r2, p_value,
@@ -198,7 +197,7 @@ _PAIRWISE = (
 
 def _pairwise(spark, sf):
     out = permanova.pairwise_permanova(
-        _course_dist(spark, sf), standin.course_meta(spark, sf), "room", "day", permutations=99, seed=6
+        _course_dist(spark, sf), standin.course_meta(spark, sf), "room", "day", permutations=999, seed=6
     )
     return checkpointed(out)
 

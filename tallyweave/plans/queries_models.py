@@ -235,14 +235,13 @@ def m8_limits(spark, sf):
 
 # -- counts -------------------------------------------------------------------------------------------------------
 
-_NATION = """, nation_counts AS (SELECT CAST(s_nationkey AS VARCHAR) AS sample_id, feature_id, CAST(sum(count) AS BIGINT) AS count
-    FROM dense JOIN supplier ON CAST(s_suppkey AS VARCHAR) = sample_id GROUP BY 1, 2)"""
+_POOLED = """, pooled_counts AS (SELECT grp AS sample_id, feature_id, CAST(sum(count) AS BIGINT) AS count
+    FROM dense JOIN meta USING (sample_id) GROUP BY 1, 2)"""
 
 
-def _nation_counts(spark, sf):
-    home = standin.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("sample_id"), "s_nationkey")
-    joined = standin.dense(spark, sf).join(home, "sample_id")
-    return joined.groupBy(F.col("s_nationkey").cast("string").alias("sample_id"), "feature_id").agg(F.sum("count").alias("count"))
+def _pooled_counts(spark, sf):
+    joined = standin.dense(spark, sf).join(standin.meta(spark, sf).select("sample_id", "grp"), "sample_id")
+    return joined.groupBy(F.col("grp").alias("sample_id"), "feature_id").agg(F.sum("count").alias("count"))
 
 
 _RATIO = """, n AS (SELECT count(DISTINCT sample_id) AS n FROM {t}),
@@ -252,13 +251,11 @@ _RATIO = """, n AS (SELECT count(DISTINCT sample_id) AS n FROM {t}),
 
 @query(
     "m5_size_factors",
-    with_("dense") + _NATION
-    + _RATIO.format(t="nation_counts", cond="seen = n OR NOT EXISTS (SELECT 1 FROM g x WHERE x.seen = x.n)")
-    + """ SELECT sample_id, round(exp(lf - CASE WHEN EXISTS (SELECT 1 FROM g WHERE seen = n) THEN 0 ELSE (SELECT avg(lf) FROM sf) END), 9)
-    AS size_factor FROM sf""",
+    with_("dense", "meta") + _POOLED + _RATIO.format(t="pooled_counts", cond="seen = n")
+    + " SELECT sample_id, round(exp(lf), 9) AS size_factor FROM sf",
 )
 def m5(spark, sf):
-    return _r(diffabund.size_factors(_nation_counts(spark, sf)), 9, "size_factor")
+    return _r(diffabund.size_factors(_pooled_counts(spark, sf), "ratio"), 9, "size_factor")
 
 
 @query(
@@ -339,9 +336,9 @@ def _profiles(spark, sf):
     SELECT feature_id, room, day, round((m - avg(m) OVER (PARTITION BY feature_id)) / stddev_samp(m) OVER (PARTITION BY feature_id), 6) AS z FROM m""",
 )
 def m14_profiles(spark, sf):
-    cells = F.array(*[F.struct(F.lit(r).alias("room"), F.lit(d).alias("day")) for r, d in _time_cells(spark, sf)])
     points = _profiles(spark, sf).select("feature_id", F.posexplode("profile").alias("cell", "z"))
-    return points.select("feature_id", F.get(cells, F.col("cell")).alias("at"), F.round("z", 6).alias("z")).select("feature_id", "at.*", "z")
+    named = points.join(_time_cells(spark, sf), "cell")
+    return named.select("feature_id", F.col("group").alias("room"), F.col("time").alias("day"), F.round("z", 6).alias("z"))
 
 
 @query("m14_pattern_clusters")
@@ -380,7 +377,7 @@ def _explored(spark, sf, part):
         standin.meta(spark, sf),
         standin.tax_dense(spark, sf),
     )
-    return explore(cs, "grp", ["R2", "R3", "R4"], permutations=99, alpha=None, parts=[part])[part]
+    return explore(cs, "grp", ["R2", "R3", "R4"], permutations=999, alpha=None, parts=[part])[part]
 
 
 @query("m17_explore_differential")
@@ -408,14 +405,14 @@ def m17_ordination(spark, sf):
 def _room_catalogue() -> list[catalogue.Comparison]:
     """The same shape as the trial's questions: one room against the reference on each day, and all rooms lumped."""
     out = [
-        catalogue.Comparison(f"{r}_D{d}", "room", (("R0", (("R0", d),)), (r, ((r, d),)))) for r in ("R1", "R2") for d in range(7)
+        catalogue.Comparison(f"{r}_D{d}", "room", (("R0", (("R0", d),)), (r, ((r, d),)))) for r in REGIONS[1:] for d in range(7)
     ]
     others = tuple((r, 0) for r in REGIONS[1:])
     return [*out, catalogue.Comparison("lumped_D0", "any", (("R0", (("R0", 0),)), ("other", others)))]
 
 
 _CATALOGUE_SQL = """, members AS (SELECT r.room || '_D' || m.day AS comparison, sample_id, m.room AS grp FROM course_meta m
-      JOIN (VALUES ('R1'), ('R2')) r(room) ON m.room IN ('R0', r.room)
+      JOIN (VALUES ('R1'), ('R2'), ('R3'), ('R4')) r(room) ON m.room IN ('R0', r.room)
       UNION ALL SELECT 'lumped_D0', sample_id, CASE WHEN room = 'R0' THEN 'R0' ELSE 'other' END FROM course_meta WHERE day = 0)"""
 
 
@@ -429,5 +426,5 @@ def m18(spark, sf):
 def m18_all(spark, sf):
     """Every comparison of the catalogue through one permutation-test job."""
     dist = checkpointed(distance.bray_curtis(standin.course(spark, sf)))
-    out = permanova.permanova(dist, m18(spark, sf), permutations=99, seed=18)
+    out = permanova.permanova(dist, m18(spark, sf), permutations=999, seed=18)
     return _r(out, 6, "sums_of_sqs", "f_model", "r2", "p_value")

@@ -81,8 +81,9 @@ def s7(spark, sf):
     def build():
         return standin.dense(spark, sf).groupBy("sample_id").agg(F.sum("count").alias("total"))
 
-    cache.compute_once(spark, root, "depth", {"by": "sample"}, build)
-    return cache.compute_once(spark, root, "depth", {"by": "sample"}, build)
+    inputs = [standin.table(spark, sf, "lineitem"), standin.table(spark, sf, "part")]
+    cache.compute_once(spark, root, "depth", {"by": "sample"}, build, inputs)
+    return cache.compute_once(spark, root, "depth", {"by": "sample"}, build, inputs)
 
 
 @query(

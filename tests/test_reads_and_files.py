@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyweave.countset import CountSet
 from tallyweave.functions import columns as C
 from tallyweave.operators import amplicon as A
-from tallyweave.operators import cleaning
+from tallyweave.operators import cleaning, summaries
 from tallyweave.sources import cache, delimited
 from tallyweave.sources import reads as files
 
@@ -65,6 +65,20 @@ def test_compute_once_ignores_unfinished_output(spark, tmp_path):
     assert len(calls) == 1
     cache.compute_once(spark, str(tmp_path), "t", {"a": 2}, build)
     assert len(calls) == 2
+    source = str(tmp_path / "in")
+    for rows in (5, 6, 6):
+        if len(calls) < 4:
+            spark.range(rows).write.mode("overwrite").parquet(source)
+        cache.compute_once(spark, str(tmp_path), "t", {}, build, [spark.read.parquet(source)])
+    assert len(calls) == 4
+
+
+def test_nested_cells_do_not_depend_on_size(spark):
+    df = spark.range(5000).select(F.lit("k").alias("key"), F.lit(1).alias("v")).union(spark.range(3).select(F.lit("l"), F.lit(2)))
+    for cells in (1, 4):
+        got = {(r["key"], r["cell"]): len(r["data"]) for r in summaries.nest(df.coalesce(1), "key", cells).collect()}
+        assert {c for k, c in got if k == "k"} == set(range(cells)) and max(got.values()) <= 5000 / cells + 1
+        assert summaries.unnest(summaries.nest(df, "key", cells), "key").count() == 5003
 
 
 def test_lineage_backfill(spark):
@@ -97,6 +111,10 @@ def test_merge_does_not_double_shared_samples(spark):
     merged = cs.merge(cs.keep_samples(F.col("k") == 1))
     assert sorted(map(tuple, merged.abund.collect())) == [("a", "f", 2), ("b", "f", 3)]
     assert merged.meta.count() == 2 and merged.tax.count() == 1
+    changed = spark.createDataFrame([("a", 9)], "sample_id string, k int")
+    for other in (CountSet(abund.filter("sample_id = 'a'"), changed, tax), CountSet(abund.withColumn("count", F.lit(9).cast("long")), meta, tax)):
+        with pytest.raises(ValueError, match="disagree"):
+            cs.merge(other)
 
 
 def test_filter_needs_both_mates(spark):
@@ -125,10 +143,32 @@ def test_merge_pairs_takes_longest_exact_overlap(spark):
 
 def test_denoise_follows_chains(spark):
     rows = [("s", "AAAAAA", 100), ("t", "AAAAAT", 20), ("s", "AAAATT", 5), ("s", "CCCCCC", 9), ("s", "CCCCCG", 6), ("s", "AAAAA", 1)]
-    once = {(r[0], r[1]): r[2] for r in A.denoise(uniques(spark, rows)).collect()}
-    assert once == {("s", "AAAAAA"): 100, ("t", "AAAAAA"): 20, ("s", "AAAAAT"): 5, ("s", "CCCCCC"): 9, ("s", "CCCCCG"): 6, ("s", "AAAAA"): 1}
-    twice = {(r[0], r[1]): r[2] for r in A.denoise(uniques(spark, rows), rounds=2).collect()}
-    assert twice[("s", "AAAAAA")] == 105 and ("s", "AAAAAT") not in twice
+    got = {(r[0], r[1]): r[2] for r in A.denoise(uniques(spark, rows)).collect()}
+    assert got == {("s", "AAAAAA"): 105, ("t", "AAAAAA"): 20, ("s", "CCCCCC"): 9, ("s", "CCCCCG"): 6, ("s", "AAAAA"): 1}
+    steps = [("s", "AAAA", 100), ("s", "AAAC", 10), ("s", "AACC", 2)]
+    assert [tuple(r) for r in A.denoise(uniques(spark, steps)).collect()] == [("s", "AAAA", 112)]
+    letters = ["A" * (40 - i) + "C" * i for i in range(12)]
+    chain = [("s", q, 2 ** (30 - 2 * i)) for i, q in enumerate(letters)]
+    found = {r["seq"]: r["variant"] for r in A.variants(uniques(spark, chain)).collect()}
+    assert found == {q: letters[0] for q in letters[1:]}
+    with pytest.raises(ValueError):
+        A.denoise(uniques(spark, rows), ratio=1.0)
+
+
+def test_reads_take_the_letters_of_their_variant(spark):
+    rows = [("s", f"r{i}", m, "ACGTA", [30] * 5) for i in range(10) for m in (1, 2)] + [("s", "e", 1, "ACGTT", [7] * 5), ("s", "e", 2, "GGGGG", [7] * 5)]
+    df = spark.createDataFrame(rows, "sample_id string, read_id string, mate int, seq string, qual array<int>")
+    got = {(r["read_id"], r["mate"]): (r["seq"], r["qual"]) for r in A.corrected(df).collect()}
+    assert len(got) == 22 and got["e", 1] == ("ACGTA", [7] * 5) and got["e", 2] == ("GGGGG", [7] * 5)
+
+
+def test_contaminants_on_either_strand(spark):
+    genome = "ACGGTTACAGGATTTCCAGGCATTAGCCAGTA"
+    other = genome[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rows = [("s", "same", 1, genome[4:28]), ("s", "back", 1, other[3:27]), ("s", "far", 1, "A" * 24)]
+    df = spark.createDataFrame(rows, "sample_id string, read_id string, mate int, seq string")
+    hits = A.contaminant_hits(df, spark.createDataFrame([(genome,)], "seq string"), 12)
+    assert {r["read_id"] for r in hits.collect()} == {"same", "back"}
 
 
 def test_parents_brute_force(spark):
@@ -172,7 +212,10 @@ def test_chimeras_brute_force(spark):
 def test_error_rates_count_substitutions(spark):
     rows = [("s", f"r{i}", 1, "ACGTA", [30] * 5) for i in range(10)] + [("s", "e", 1, "ACGTT", [30, 30, 30, 30, 7])]
     df = spark.createDataFrame(rows, "sample_id string, read_id string, mate int, seq string, qual array<int>")
-    got = {(r["ref"], r["obs"], r["q"]): r["n"] for r in A.error_rates(df).collect()}
+    df = df.union(spark.createDataFrame([("s", "e", 2, "TTTTT", [9] * 5)], df.schema))
+    rates = A.error_rates(df).collect()
+    assert {(r["ref"], r["obs"], r["q"], r["n"]) for r in rates if r["mate"] == 2} == {("T", "T", 9, 5)}
+    got = {(r["ref"], r["obs"], r["q"]): r["n"] for r in rates if r["mate"] == 1}
     assert got[("A", "T", 7)] == 1 and got[("A", "A", 30)] == 21 and ("T", "T", 7) not in got
 
 
@@ -186,7 +229,17 @@ def test_classifier_recovers_planted_lineage(spark):
     got = {r["id"]: r for r in out.collect()}
     for g, _ in asked:
         assert got[g]["genus"] == g.split(".")[0] and got[g]["genus_confidence"] > 0.9
-    assert "noise" not in got or got["noise"]["genus_confidence"] < 0.6
+    assert got["noise"]["genus_confidence"] < 0.6
+    odd = spark.createDataFrame([("short", "ACG"), ("far", "N" * 60), ("same", genomes["a1"])], "id string, seq string")
+    got = {r["id"]: r for r in A.classify(odd, ref, ["domain", "genus"]).collect()}
+    for name in ("short", "far"):
+        assert (got[name]["domain"], got[name]["genus"], got[name]["genus_confidence"]) == ("unclassified_root", "unclassified_root", 0.0)
+    assert got["same"]["genus"] == "a1" and got["same"]["genus_confidence"] == 1.0
+
+
+def test_chimera_parents_must_be_more_abundant(spark):
+    with pytest.raises(ValueError):
+        A.chimera_flags(uniques(spark, [("s", "ACGT", 3)]), fold=1.0)
 
 
 def test_long_text_kmers_are_complete(spark):

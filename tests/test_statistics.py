@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -190,14 +191,90 @@ def test_dispersion_equals_euclidean_centroid_distance(spark):
     assert [got[f"s{i}"] for i in range(7)] == pytest.approx(list(want))
 
 
-def test_both_ordinations_agree(spark):
-    rng = random.Random(8)
-    rows = [(f"s{i:02d}", f"f{j}", rng.randint(1, 9) + (40 if (i % 3) == (j % 3) else 0) + i * (j == 4)) for i in range(12) for j in range(10)]
-    df = abundance(spark, rows)
-    small = {r[0]: r[1:] for r in ordination.ordinate(df).collect()}
-    wide = {r[0]: r[1:] for r in ordination.ordinate(df, dense_features=1).collect()}
-    for s in small:
-        assert list(small[s]) == pytest.approx(list(wide[s]), abs=1e-4)
+@pytest.mark.parametrize(("features", "width"), [(10, 8), (60, 2), (1200, 8), (3, 8)])
+def test_ordination_equals_the_exact_decomposition(spark, features, width):
+    rng = np.random.default_rng(8)
+    counts = rng.poisson(rng.gamma(0.3, 4, (25, features))) + (rng.random((25, features)) < 0.02)
+    counts[:, 0] += 1
+    rows = [(f"s{i:02d}", f"f{j:04d}", int(c)) for (i, j), c in np.ndenumerate(counts) if c]
+    got = {r["sample_id"]: (r["axis1"], r["axis2"]) for r in ordination.ordinate(abundance(spark, rows), width=width).collect()}
+    values = np.sqrt(counts / counts.sum(axis=1, keepdims=True))
+    u, d, v = np.linalg.svd(values - values.mean(axis=0), full_matrices=False)
+    for j in range(2):
+        want = u[:, j] * d[j] * np.sign(v[j][np.abs(v[j]).argmax()])
+        assert [got[f"s{i:02d}"][j] for i in range(25)] == pytest.approx(list(want), abs=1e-7)
+
+
+def test_ordination_that_does_not_settle_is_an_error(spark):
+    rows = random_abundance(spark, 3, 20, 60)
+    with pytest.raises(RuntimeError):
+        ordination.ordinate(abundance(spark, rows), width=2, rounds=1)
+
+
+def test_members_without_distances_do_not_count(spark):
+    d = {("a", "b"): 1.0, ("a", "c"): 4.0, ("a", "d"): 5.0, ("b", "c"): 4.5, ("b", "d"): 4.0, ("c", "d"): 1.5}
+    dist_df = spark.createDataFrame([(a, b, v) for (a, b), v in d.items()], "sample_a string, sample_b string, d double")
+    rows = [("t", "a", "x"), ("t", "b", "x"), ("t", "c", "y"), ("t", "d", "y")]
+    schema = "comparison string, sample_id string, grp string"
+    want = permanova.permanova(dist_df, spark.createDataFrame(rows, schema), 19).first()
+    assert permanova.permanova(dist_df, spark.createDataFrame([*rows, ("t", "lost", "y")], schema), 19).first() == want
+    meta = spark.createDataFrame([("a", "x"), ("b", "x"), ("lost", "x")], "sample_id string, grp string")
+    got = {r["sample_id"]: r["distance"] for r in permanova.dispersion(dist_df, meta, "grp").collect()}
+    assert got == {"a": pytest.approx(0.5), "b": pytest.approx(0.5)}
+
+
+def test_pairs_of_groups_with_alike_names(spark):
+    meta = spark.createDataFrame([("a", "u", "v_w"), ("b", "u_v", "w"), ("c", "u", None), ("d", "u", "v_w")], "sample_id string, g string, h string")
+    pairs, members = permanova.pairwise_members(meta, "g", "h")
+    assert pairs.count() == 3 and pairs.select("comparison").distinct().count() == 3
+    sizes = sorted(r["count"] for r in members.groupBy("comparison").count().collect())
+    assert sizes == [2, 3, 3]
+
+
+def test_null_families_are_families(spark):
+    df = spark.createDataFrame([(None, "x", 0.01), (None, "x", 0.04), ("a", None, 0.02), ("a", "x", 0.5), ("a", "x", None)], "f string, g string, p double")
+    got = {(r["f"], r["g"], r["p"]): r["q"] for r in ranking.benjamini_hochberg(df, "p", ["f", "g"], "q").collect()}
+    assert got == {(None, "x", 0.01): 0.02, (None, "x", 0.04): 0.04, ("a", None, 0.02): 0.02, ("a", "x", 0.5): 0.5, ("a", "x", None): None}
+    got = {(r["f"], r["g"], r["p"]): r["q"] for r in ranking.bonferroni(df, "p", ["f", "g"], "q").collect()}
+    assert got[None, "x", 0.04] == 0.08 and got["a", None, 0.02] == 0.02
+
+
+def test_size_factors_must_be_chosen(spark):
+    df = abundance(spark, [("a", "x", 3), ("b", "y", 4)])
+    with pytest.raises(ValueError):
+        diffabund.size_factors(df, "ratio")
+    with pytest.raises(ValueError):
+        diffabund.size_factors(df, "auto")
+    assert diffabund.size_factors(df, "poscounts").count() == 2
+
+
+def test_shrinkage_follows_its_quantile(spark):
+    rows = [(f"f{i}", "c", float(i), 1.0) for i in range(1, 101)]
+    df = spark.createDataFrame(rows, "feature_id string, coefficient string, log2fc double, lfc_se double")
+    for upper in (0.95, 0.5):
+        width = np.quantile(np.arange(1, 101), upper) / NormalDist().inv_cdf((1 + upper) / 2)
+        got = {r["feature_id"]: r["log2fc_shrunk"] for r in diffabund.shrink(df, upper).collect()}
+        assert got["f50"] == pytest.approx(50 * width**2 / (width**2 + 1))
+
+
+def test_profiles_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    meta, values, table = [], [], np.full((6, 30), -1.0)
+    for i in range(30):
+        meta.append((f"s{i}", f"g{i % 3}", i // 3 % 4))
+        for j in range(6):
+            if rng.random() < 0.4:
+                table[j, i] = rng.normal()
+                values.append((f"s{i}", f"f{j}", float(table[j, i])))
+    meta_df = spark.createDataFrame(meta, "sample_id string, grp string, day int")
+    values_df = spark.createDataFrame(values, "sample_id string, feature_id string, value double")
+    cells = diffabund.design_cells(meta_df, "grp", "day")
+    order = sorted({(g, d) for _, g, d in meta})
+    assert [(r["group"], r["time"]) for r in cells.orderBy("cell").collect()] == order
+    got = {r["feature_id"]: r["profile"] for r in diffabund.profiles(values_df, meta_df, "grp", "day", cells).collect()}
+    for j in range(6):
+        m = np.array([table[j, [i for i, x in enumerate(meta) if x[1:] == c]].mean() for c in order])
+        assert got[f"f{j}"] == pytest.approx(list((m - m.mean()) / m.std(ddof=1)))
 
 
 def test_contaminants_by_hand(spark):
