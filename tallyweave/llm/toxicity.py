@@ -52,7 +52,7 @@ _SEPARATORS = set(" .-_*~/")
 _LETTERS = 28  # 0: word boundary, 1 to 26: a to z, 27: any other letter
 _CODE = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0 for b in range(256)], np.int64)
 _WILD = 4.0  # cost of a sign read as a letter, a dropped separator or repetition (in nats)
-_COSTS = {"same": 0.0, "sign": 1.0, "digit kept": 6.0, "join": 0.2, "split": 2.0, "drop repeat": 0.7}
+_COSTS = {"same": 0.0, "sign": 1.0, "digit kept": 6.0, "join": 0.2, "split": 2.0, "drop repeat": 0.7, "drop double": 2.5}
 _PREFIXES = (4, 5, 6, 7, 8)
 _MEMO = 300_000
 
@@ -84,7 +84,9 @@ def decode(spelling: str, model: CharacterModel) -> list[str]:
     # state: the last two codes -> (cost, letters so far as a linked list, last letter)
     states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None, "")}
     cost = model.cost
+    runs = [len(m.group()) for m in re.finditer(r"(.)\1*", spelling) for _ in m.group()]
     for at, c in enumerate(spelling):
+        drop = _COSTS["drop double" if runs[at] == 2 else "drop repeat"]
         reads: list[tuple[str, float]] = []
         if c.isalpha():
             reads = [(c, _COSTS["same"])]
@@ -101,7 +103,7 @@ def decode(spelling: str, model: CharacterModel) -> list[str]:
                 k = _letter(x)
                 offer((b, k), (spent + extra + cost[a][b][k], (path, x), x))
                 if x == last:
-                    offer((a, b), (spent + extra + _COSTS["drop repeat"], path, last))
+                    offer((a, b), (spent + extra + drop, path, last))
             if c in _SEPARATORS:
                 offer((a, b), (spent + _COSTS["join"], path, last))
             if not c.isalpha():
