@@ -52,7 +52,7 @@ _SEPARATORS = set(" .-_*~/")
 _LETTERS = 28  # 0: word boundary, 1 to 26: a to z, 27: any other letter
 _CODE = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0 for b in range(256)], np.int64)
 _WILD = 4.0  # cost of a sign read as a letter, a dropped separator or repetition (in nats)
-_COSTS = {"same": 0.0, "sign": 1.0, "digit kept": 6.0, "join": 0.2, "split": 2.0, "drop repeat": 0.7, "drop double": 2.5}
+_COSTS = {"same": 0.0, "sign": 1.0, "digit kept": 6.0, "join": 0.2, "split": 2.0, "drop repeat": 0.7, "drop double": 6.0}
 _PREFIXES = (4, 5, 6, 7, 8)
 _MEMO = 300_000
 

@@ -72,7 +72,7 @@ def test_held_out_toxicity(table, labels, scorer):
 
 @pytest.mark.parametrize(
     ("spelling", "word"),
-    [("1d10t", "idiot"), ("s t u p i d", "stupid"), ("st.up.id", None), ("stuuuupid", "stupid"), ("tr@sh", "trash"), ("m-o-r-o-n", "moron"), ("w0rthl3$$", "worthless"), ("c.l.o.w.n", "clown"), ("p@th3t1c", "pathetic"), ("t r @ s h", "trash"), ("l0s3r", "loser")],
+    [("1d10t", "idiot"), ("s t u p i d", "stupid"), ("st.up.id", None), ("stuuuupid", "stupid"), ("tr@sh", "trash"), ("m-o-r-o-n", "moron"), ("w0rthl3ss", "worthless"), ("c.l.o.w.n", "clown"), ("p@th3t1c", "pathetic"), ("t r @ s h", "trash"), ("l0s3r", "loser")],
 )
 def test_disguises_are_decoded(scorer, spelling, word):
     import pyarrow as pa
