@@ -294,12 +294,45 @@ def d8(spark, sf):
     return _r(permanova.dispersion(_course_dist(spark, sf), meta, "grp"), 7, "distance")
 
 
-@query("d9_ordination")
+def _ordination_sql(t: str, digits: int, squarings: int = 12) -> str:
+    """Axes from the samples' Gram matrix: powers by repeated squaring give the first, the same without it the second."""
+
+    def axis(k: int, source: str) -> str:
+        parts = [f"p{k}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {source} WHERE i = j) AS v FROM {source})"]
+        for n in range(squarings):
+            parts.append(f"q{k}_{n} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM p{k}_{n} a JOIN p{k}_{n} b ON a.j = b.i GROUP BY 1, 2)")
+            parts.append(f"p{k}_{n + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM q{k}_{n} WHERE i = j) AS v FROM q{k}_{n})")
+        last = f"p{k}_{squarings}"
+        return ", ".join(parts) + f""", c{k} AS MATERIALIZED (SELECT i, v FROM {last} WHERE j = (SELECT i FROM {last} WHERE i = j ORDER BY v DESC, i LIMIT 1)),
+    u{k} AS MATERIALIZED (SELECT i, v / (SELECT sqrt(sum(v * v)) FROM c{k}) AS u FROM c{k}),
+    e{k} AS MATERIALIZED (SELECT sum(a.u * g.v * b.u) AS e FROM {source} g JOIN u{k} a ON a.i = g.i JOIN u{k} b ON b.i = g.j),
+    l{k} AS (SELECT feature_id, (sum(x * u) - any_value(m) * (SELECT sum(u) FROM u{k})) / sqrt((SELECT e FROM e{k})) AS l
+      FROM val JOIN mu USING (feature_id) JOIN u{k} ON i = sample_id GROUP BY 1),
+    s{k} AS MATERIALIZED (SELECT sign(l) AS s FROM l{k} ORDER BY round(abs(l), 9) DESC, feature_id DESC LIMIT 1)"""
+
+    return (
+        with_(t)
+        + f""", tot AS (SELECT sample_id, sum(count) AS t FROM {t} GROUP BY 1),
+    val AS MATERIALIZED (SELECT sample_id, feature_id, sqrt(count / t) AS x FROM {t} JOIN tot USING (sample_id)),
+    mu AS MATERIALIZED (SELECT feature_id, sum(x) / (SELECT count(*) FROM tot) AS m FROM val GROUP BY 1),
+    r AS MATERIALIZED (SELECT sample_id AS i, sum(x * m) AS r FROM val JOIN mu USING (feature_id) GROUP BY 1),
+    dots AS (SELECT a.sample_id AS i, b.sample_id AS j, sum(a.x * b.x) AS v FROM val a JOIN val b USING (feature_id) GROUP BY 1, 2),
+    gram AS MATERIALIZED (SELECT a.i, b.i AS j, coalesce(v, 0) - a.r - b.r + (SELECT sum(m * m) FROM mu) AS v
+      FROM r a JOIN r b ON true LEFT JOIN dots d ON d.i = a.i AND d.j = b.i), """
+        + axis(1, "gram")
+        + """, gram2 AS MATERIALIZED (SELECT g.i, g.j, g.v - (SELECT e FROM e1) * a.u * b.u AS v FROM gram g JOIN u1 a ON a.i = g.i JOIN u1 b ON b.i = g.j), """
+        + axis(2, "gram2")
+        + f""" SELECT a.i AS sample_id, round(a.u * sqrt((SELECT e FROM e1)) * (SELECT s FROM s1), {digits}) AS axis1,
+    round(b.u * sqrt((SELECT e FROM e2)) * (SELECT s FROM s2), {digits}) AS axis2 FROM u1 a JOIN u2 b ON a.i = b.i"""
+    )
+
+
+@query("d9_ordination", _ordination_sql("dense", 6))
 def d9(spark, sf):
     return _r(ordination.ordinate(standin.dense(spark, sf)), 6, "axis1", "axis2")
 
 
-@query("d9_ordination_wide")
+@query("d9_ordination_wide", _ordination_sql("sparse", 5))
 def d9_wide(spark, sf):
     return _r(ordination.ordinate(standin.sparse(spark, sf)), 5, "axis1", "axis2")
 

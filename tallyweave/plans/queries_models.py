@@ -9,6 +9,7 @@ from tallyweave.functions import ranking as R
 from tallyweave.operators import cleaning, contamination, diffabund, distance, diversity, models, permanova, summaries
 from tallyweave.plans import catalogue, standin
 from tallyweave.plans.explore import explore
+from tallyweave.plans.queries_diversity import _bray_sql, _permanova_sql
 from tallyweave.plans.registry import query
 from tallyweave.plans.standin import with_
 from tallyweave.session import checkpointed, scratch_path
@@ -386,7 +387,23 @@ def m17_differential(spark, sf):
     return _r(out.select("feature_id", "coefficient", "log2fc_shrunk", "padj", "enriched_in", "phylum"), 5, "log2fc_shrunk", "padj")
 
 
-@query("m17_explore_permanova")
+@query(
+    "m17_explore_permanova",
+    with_("dense", "meta", "tax_dense")
+    + """, kept AS (SELECT * FROM dense WHERE sample_id IN (SELECT sample_id FROM meta WHERE grp IN ('R2', 'R3', 'R4'))
+      AND feature_id IN (SELECT feature_id FROM tax_dense)),
+    own AS (SELECT sample_id, grp FROM meta WHERE grp IN ('R2', 'R3', 'R4') AND sample_id IN (SELECT sample_id FROM kept))"""
+    + _bray_sql("kept")
+    + """, sides AS (SELECT a.grp AS grp1, b.grp AS grp2, a.grp || ' vs ' || b.grp AS pairs
+      FROM (SELECT DISTINCT grp FROM own) a JOIN (SELECT DISTINCT grp FROM own) b ON a.grp < b.grp)"""
+    + _permanova_sql("SELECT pairs AS comparison, sample_id, grp FROM sides JOIN own ON grp IN (grp1, grp2)", 999, "1")
+    + """, adjusted AS (SELECT s.*, df, sums_of_sqs, f_model, r2, p_value,
+      CASE WHEN p_value IS NOT NULL THEN least(p_value * count(p_value) OVER (), 1.0e0) END AS p_adj FROM tested t JOIN sides s ON s.pairs = t.comparison)
+    SELECT pairs, grp1, grp2, df, round(sums_of_sqs, 6) AS sums_of_sqs, round(f_model, 6) AS f_model, round(r2, 6) AS r2,
+    round(p_value, 6) AS p_value, round(p_adj, 6) AS p_adjusted,
+    CASE WHEN p_adj <= 0.0001 THEN '***' WHEN p_adj <= 0.001 THEN '**' WHEN p_adj <= 0.01 THEN '*' WHEN p_adj <= 0.05 THEN '.' ELSE '' END AS sig
+    FROM adjusted""",
+)
 def m17_permanova(spark, sf):
     return _r(_explored(spark, sf, "permanova"), 6, "sums_of_sqs", "f_model", "r2", "p_value", "p_adjusted")
 
@@ -422,7 +439,13 @@ def m18(spark, sf):
     return catalogue.members(table, standin.course_meta(spark, sf), ["room", "day"])
 
 
-@query("m18_compare_all")
+@query(
+    "m18_compare_all",
+    with_("course", "course_meta") + _bray_sql("course")
+    + _permanova_sql(_CATALOGUE_SQL.removeprefix(", members AS (").removesuffix(")"), 999, "18")
+    + """ SELECT comparison, df, round(sums_of_sqs, 6) AS sums_of_sqs, round(f_model, 6) AS f_model, round(r2, 6) AS r2,
+    round(p_value, 6) AS p_value FROM tested""",
+)
 def m18_all(spark, sf):
     """Every comparison of the catalogue through one permutation-test job."""
     dist = checkpointed(distance.bray_curtis(standin.course(spark, sf)))
