@@ -19,14 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared scratch folder and read back: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, label: str, passing: list[str] | None = None) -> DataFrame:
+    """Write to the shared scratch folder and read back: cuts the lineage and survives lost executors.
+
+    ``passing`` gets the path of a table that the operator itself drops when its result no longer needs it.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    if passing is not None:
+        passing.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``stored`` wrote."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyweave.llm.common import arrow_map, stored
+from tallyweave.llm.common import arrow_map, drop, small_side, stored
 from tallyweave.llm.components import components
 
 _BITS = 64
@@ -53,14 +53,15 @@ def fingerprint(text: bytes | None, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp (signed long) for each row."""
+    """doc_id, key (hash of id and text), fp (signed long) for each row."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fps, pa.int64())], names=["doc_id", "key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", F.col("text").cast("binary").alias("text")), each, f"doc_id {kind}, fp bigint")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
+    return arrow_map(rows, each, f"doc_id {kind}, key bigint, fp bigint")
 
 
 def covering_masks(radius: int, turn: int = 0) -> list[int]:
@@ -105,11 +106,11 @@ def _keyed(rows: DataFrame, keep: list[str], masks: list[int], name: str) -> Dat
     return rows.select("fp", *keep, F.explode(F.array(*entry)).alias(name))
 
 
-def links(distinct_fps: DataFrame, radius: int = 3, bucket_limit: int = 512) -> DataFrame:
+def links(distinct_fps: DataFrame, radius: int = 3, bucket_limit: int = 512, passing: list[str] | None = None) -> DataFrame:
     """Distinct fp -> a, b: pairs within ``radius`` bits whose components are those of all such pairs."""
     level1 = _keyed(distinct_fps, [], covering_masks(radius), "k1")
     counts = level1.groupBy("k1").agg(F.count("*").alias("n")).filter("n > 1")
-    level1 = stored(level1.join(counts, "k1"), "simhash-buckets")
+    level1 = stored(level1.join(counts, "k1"), "simhash-buckets", passing)
     small = level1.filter(F.col("n") <= bucket_limit).groupBy("k1").agg(F.collect_list("fp").alias("fps"))
     level2 = _keyed(level1.filter(F.col("n") > bucket_limit), ["k1"], covering_masks(radius, 1), "k2")
     counts2 = level2.groupBy("k1", "k2").agg(F.count("*").alias("n2")).filter("n2 > 1")
@@ -125,21 +126,25 @@ def links(distinct_fps: DataFrame, radius: int = 3, bucket_limit: int = 512) ->
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, bucket_limit: int = 512) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable over links) for each row."""
+    """doc_id, key, fp, component_id (the smallest doc_id reachable over links) for each row."""
+    passing: list[str] = []
     fps = stored(fingerprints(docs, words), "simhash-fingerprints")
     heads = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("head")), "simhash-distinct")
-    of = components(links(heads.select("fp"), radius, bucket_limit))
+    of = components(links(heads.select("fp"), radius, bucket_limit, passing))
+    drop(docs.sparkSession, passing)  # the components are stored
     joined = heads.join(of, heads.fp == of.node, "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     first = joined.groupBy("root").agg(F.min("head").alias("component_id"))
     member = joined.join(first, "root").select("fp", "component_id")
-    return fps.join(member, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(member, "fp").select("doc_id", "key", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, bucket_limit: int = 512) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each component, all columns; of rows that share it, one stays."""
-    found = near_duplicates(docs, words, radius, bucket_limit)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("__first"))).drop("__first")
-    order = [F.xxhash64("text"), F.col("text")]
-    numbered = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-    return numbered.filter("__n = 1").drop("__n")
+    found = near_duplicates(docs, words, radius, bucket_limit).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = found.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    first = rows.groupBy("doc_id").agg(F.min(F.struct("key", "n")).alias("f")).select(F.col("doc_id").alias("__doc"), F.col("f.key").alias("__key"), F.col("f.n").alias("__n"))
+    first = stored(first, "simhash-first")
+    same = (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__key")) & docs["doc_id"].eqNullSafe(F.col("__doc"))
+    kept = docs.join(small_side(first, 64), same)
+    equal = kept.filter("__n > 1").withColumn("__i", F.row_number().over(Window.partitionBy("__doc", "__key").orderBy("__n"))).filter("__i = 1")
+    return kept.filter("__n = 1").select(*docs.columns).union(equal.select(*docs.columns))
