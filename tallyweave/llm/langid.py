@@ -194,6 +194,7 @@ def _predict(texts: list[str | None], model: dict) -> tuple[list[str], list[floa
             margins[:, k] = np.add.reduceat(w[code].astype(np.float64), bounds) * 100 / sizes + w[-1]
         for i, k, s in zip(group, *_decide(margins, model)):
             langs[i], scores[i] = model["langs"][k], float(s)
+    pa.default_memory_pool().release_unused()
     return langs, scores
 
 
@@ -210,7 +211,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), each, schema)
 
 
-def _groups(texts: list[bytes], most: int = 1 << 22) -> Iterator[list[int]]:
+def _groups(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[int]]:
     """Places of texts with letters, in groups of about ``most`` bytes; a longer text is a group by itself."""
     group, size = [], 0
     for i, t in enumerate(texts):

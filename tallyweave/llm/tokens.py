@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 300_000
+MEMO = 150_000
 _LONGEST = 40
-_GROUP = 1 << 23
+_GROUP = 1 << 22
 _TOGETHER = 256
 _SEPARATOR = {"word": " \x01 ", "byte": "<|endoftext|>"}
 _BYTE_PIECES = re.compile(r"\s*\S+(?:(?! )\s+\S+)*|\s+")
@@ -125,4 +125,5 @@ class Encoder:
             ids, bounds = self._group(texts.slice(begin, end - begin))
             out += [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             begin = end
+        pa.default_memory_pool().release_unused()
         return out
