@@ -126,7 +126,7 @@ def links(distinct_fps: DataFrame, radius: int = 3, bucket_limit: int = 512, pas
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, bucket_limit: int = 512) -> DataFrame:
-    """doc_id, key, fp, component_id (the smallest doc_id reachable over links) for each row."""
+    """doc_id, key, fp, component_id (the smallest doc_id reachable over links), root (the smallest such fp) for each row."""
     passing: list[str] = []
     fps = stored(fingerprints(docs, words), "simhash-fingerprints")
     heads = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("head")), "simhash-distinct")
@@ -134,15 +134,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, bucket_lim
     drop(docs.sparkSession, passing)  # the components are stored
     joined = heads.join(of, heads.fp == of.node, "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     first = joined.groupBy("root").agg(F.min("head").alias("component_id"))
-    member = joined.join(first, "root").select("fp", "component_id")
-    return fps.join(member, "fp").select("doc_id", "key", "fp", "component_id")
+    member = joined.join(first, "root").select("fp", "component_id", "root")
+    return fps.join(member, "fp").select("doc_id", "key", "fp", "component_id", "root")
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, bucket_limit: int = 512) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each component, all columns; of rows that share it, one stays."""
+    """One row of ``docs`` for each component, all columns: the smallest doc_id, of rows that share it the smallest key.
+
+    A component is known by its root, so texts that share an id, or have none, stay if they are not near-duplicates.
+    """
     found = near_duplicates(docs, words, radius, bucket_limit).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    rows = found.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
-    first = rows.groupBy("doc_id").agg(F.min(F.struct("key", "n")).alias("f")).select(F.col("doc_id").alias("__doc"), F.col("f.key").alias("__key"), F.col("f.n").alias("__n"))
+    rows = found.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    # the rows of a root have one doc_id here
+    first = rows.groupBy("root").agg(F.min(F.struct("key", "n", "doc_id")).alias("f")).select(F.col("f.doc_id").alias("__doc"), F.col("f.key").alias("__key"), F.col("f.n").alias("__n"))
     first = stored(first, "simhash-first")
     same = (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__key")) & docs["doc_id"].eqNullSafe(F.col("__doc"))
     kept = docs.join(small_side(first, 64), same)

@@ -41,6 +41,13 @@ def test_odd_rows(documents):
     assert sorted(map(str, ids)) == sorted(map(str, firsts)) and "n_hit" in kept.columns
 
 
+def test_one_row_stays_of_each_component_whatever_its_id(documents):
+    texts = [f"text {w} about {w} and nothing but {w}" for w in ("apples", "boats", "clouds")]
+    rows = [(None, t) for t in texts] + [(None, texts[0]), (7, "quite another story"), (7, "and a third one, told at length"), (9, "quite another story"), (7, texts[2])]
+    kept = sorted(((r["doc_id"], r["text"]) for r in op.keep_first(documents(rows)).collect()), key=repr)
+    assert kept == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, "quite another story"), (7, "and a third one, told at length")], key=repr)
+
+
 @pytest.mark.parametrize("limit", [512, 2])
 def test_links_of_dense_groups(spark, limit):
     rng = random.Random(5)
