@@ -32,19 +32,21 @@ from tallyweave.llm.components import components
 _BITS = 64
 
 
-def fingerprint(text: bytes | None, words: int) -> int:
-    """Signed 64-bit value of a text's fingerprint."""
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included."""
     import xxhash
 
     w = (text or b"").lower().split()
-    if not w:
-        return 0
     if len(w) <= words:
-        shingles = [b" ".join(w)]
+        shingles = [b" ".join(w)] if w else []
     else:
         shingles = [b" ".join(s) for s in zip(*(w[i:] for i in range(words)))]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles))
+    return np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """Signed 64-bit fingerprint of shingle hashes."""
     counts = np.zeros(_BITS, np.int64)
     for at in range(0, len(h), 1 << 16):
         part = h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -52,6 +54,11 @@ def fingerprint(text: bytes | None, words: int) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes | None, words: int) -> int:
+    """Signed 64-bit value of a text's fingerprint."""
+    return fingerprint_of(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, key (hash of id and text), fp (signed long) for each row."""
 
@@ -125,12 +132,21 @@ def links(distinct_fps: DataFrame, radius: int = 3, bucket_limit: int = 512, pas
     return _solve(rows, radius).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, bucket_limit: int = 512) -> DataFrame:
-    """doc_id, key, fp, component_id (the smallest doc_id reachable over links), root (the smallest such fp) for each row."""
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, bucket_limit: int = 512, similarity: float | None = None) -> DataFrame:
+    """doc_id, key, fp, component_id (the smallest doc_id reachable over links), root (the smallest such fp) for each row.
+
+    With ``similarity``, all pairs of texts whose sets of shingles have that Jaccard similarity or more are links as well,
+    however far apart their fingerprints are.
+    """
     passing: list[str] = []
     fps = stored(fingerprints(docs, words), "simhash-fingerprints")
     heads = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("head")), "simhash-distinct")
-    of = components(links(heads.select("fp"), radius, bucket_limit, passing))
+    found = links(heads.select("fp"), radius, bucket_limit, passing)
+    if similarity is not None:
+        from tallyweave.llm import shingles
+
+        found = found.union(shingles.links(docs, words, similarity, passing))
+    of = components(found)
     drop(docs.sparkSession, passing)  # the components are stored
     joined = heads.join(of, heads.fp == of.node, "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     first = joined.groupBy("root").agg(F.min("head").alias("component_id"))
@@ -138,12 +154,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, bucket_lim
     return fps.join(member, "fp").select("doc_id", "key", "fp", "component_id", "root")
 
 
-def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, bucket_limit: int = 512) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, bucket_limit: int = 512, similarity: float | None = None) -> DataFrame:
     """One row of ``docs`` for each component, all columns: the smallest doc_id, of rows that share it the smallest key.
 
     A component is known by its root, so texts that share an id, or have none, stay if they are not near-duplicates.
     """
-    found = near_duplicates(docs, words, radius, bucket_limit).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near_duplicates(docs, words, radius, bucket_limit, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = found.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
     # the rows of a root have one doc_id here
     first = rows.groupBy("root").agg(F.min(F.struct("key", "n", "doc_id")).alias("f")).select(F.col("f.doc_id").alias("__doc"), F.col("f.key").alias("__key"), F.col("f.n").alias("__n"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from brute import ODD, groups, near_duplicates, simhash
 
+import corpus_pipeline
 from tallyweave.llm import simhash as op
 from tallyweave.llm.components import components
 
@@ -48,6 +49,50 @@ def test_one_row_stays_of_each_component_whatever_its_id(documents):
     assert kept == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, "quite another story"), (7, "and a third one, told at length")], key=repr)
 
 
+def jaccard_components(docs, words=5, similarity=0.8, radius=3):
+    """{doc_id: smallest doc_id reachable} by brute force over all pairs; ids are distinct"""
+    w = [(t or "").lower().split() for _, t in docs]
+    sets = [frozenset(tuple(x[i : i + words]) for i in range(max(1, len(x) - words + 1))) if x else frozenset() for x in w]
+    fps = [simhash(t, words) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    wide = 0
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        s, t, far = sets[i], sets[j], (fps[i] ^ fps[j]).bit_count()
+        both = len(s & t)
+        if s == t or both >= similarity * (len(s) + len(t) - both) - 1e-9 or far <= radius:
+            wide += far > radius
+            x, y = sorted((find(i), find(j)), key=lambda k: docs[k][0])
+            root[y] = x
+    return {d: docs[find(i)][0] for i, (d, _) in enumerate(docs)}, wide
+
+
+def test_every_pair_of_the_similarity_is_linked(spark, documents, small):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(30)]
+    docs = list(small)
+    for group in range(12):
+        base = [word() for _ in range(rng.choice((6, 12, 40, 150, 600)))] + passage * (group % 2)
+        for copy in range(25 if group < 2 else 6):
+            text = list(base)
+            for _ in range(max(1, rng.randrange(1 + len(base) // 60))):
+                text[rng.randrange(len(text))] = word()
+            docs.append((10_000 + 100 * group + copy, " ".join(text)))
+    docs += [(20_000, "a b c d e f g a b c d e f g"), (20_001, "A b c d e f g a b c d e f g a b c"), (20_002, "x y"), (20_003, "X  y")]
+    want, wide = jaccard_components(docs)
+    assert wide > 50  # links that three bits miss
+    found = {r["doc_id"]: r["component_id"] for r in op.near_duplicates(documents(docs), 5, similarity=0.8).collect()}
+    assert found == want
+    kept = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, documents(docs), "").collect()]
+    assert sorted(kept) == sorted(set(want.values()))
+
+
 @pytest.mark.parametrize("limit", [512, 2])
 def test_links_of_dense_groups(spark, limit):
     rng = random.Random(5)
