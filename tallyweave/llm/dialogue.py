@@ -195,7 +195,7 @@ def signatures(df: DataFrame, passing: list[str] | None = None) -> DataFrame:
     signed = stretches.groupBy("conv_id").agg(F.concat_ws("", pieces).alias("signature"))
     wide = F.col("turn").cast("decimal(38,0)")
     turns = rows.groupBy("conv_id").agg((F.max(wide) - F.min(wide) + 1 - F.count_distinct("turn")).alias("turn_gaps"))
-    turns = turns.select(F.col("conv_id").alias("c"), F.coalesce(F.least("turn_gaps", F.lit((1 << 63) - 1)), F.lit(0)).cast("bigint").alias("turn_gaps"))
+    turns = turns.select(F.col("conv_id").alias("c"), F.least(F.coalesce("turn_gaps", F.lit(0)), F.lit((1 << 63) - 1)).cast("bigint").alias("turn_gaps"))
     return signed.join(turns, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "turn_gaps", "signature")
 
 
