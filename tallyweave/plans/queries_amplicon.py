@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import null_unclassified
 from tallyweave.operators import amplicon as A
+from tallyweave.operators import denoising
 from tallyweave.plans import standin
 from tallyweave.plans.registry import query
 from tallyweave.plans.standin import table, with_
@@ -104,6 +105,49 @@ def r5(spark, sf):
     return A.denoise(_uniques(spark, sf))
 
 
+_CUT = with_("reads") + """, cut AS (SELECT sample_id, read_id, mate, substr(seq, 1, t) AS seq, qual[1:t] AS qual
+      FROM (SELECT *, CASE mate WHEN 1 THEN 12 ELSE 10 END AS t FROM reads) WHERE length(seq) >= t)"""
+_PART = lambda i: f"substr(seq, CAST(floor(length(seq) * {i} / 5.0e0) AS INTEGER) + 1, CAST(floor(length(seq) * {i + 1} / 5.0e0) - floor(length(seq) * {i} / 5.0e0) AS INTEGER)) AS p{i}"
+
+
+def _cut_reads(spark, sf, first=12, second=10):
+    size = F.when(F.col("mate") == 1, first).otherwise(second)
+    reads = standin.reads(spark, sf).filter(F.length("seq") >= size)
+    return reads.withColumns({"seq": F.substring("seq", F.lit(1), size), "qual": F.slice("qual", F.lit(1), size)})
+
+
+@query(
+    "r5_split_step",
+    _CUT
+    + f""", un AS (SELECT mate, seq, count(*) AS n FROM cut GROUP BY 1, 2),
+    mq AS (SELECT mate, seq, list(w ORDER BY pos) AS w FROM (
+      SELECT mate, seq, pos, greatest(1e-7, least(0.25e0, pow(10.0e0, round(avg(q)) / -10.0e0) / 3.0e0)) AS w
+      FROM (SELECT mate, seq, unnest(range(1, len(qual) + 1)) AS pos, unnest(qual) AS q FROM cut) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    us AS (SELECT mate, seq, md5(seq) AS id, n, w, {", ".join(_PART(i) for i in range(5))} FROM un JOIN mq USING (mate, seq)),
+    fol AS (SELECT DISTINCT c.mate, c.id FROM us c JOIN us o ON o.mate = c.mate AND o.n >= 2 AND c.n >= 2 AND (o.n > c.n OR (o.n = c.n AND o.id < c.id))
+      AND {" + ".join(f"CAST(o.p{i} <> c.p{i} AS INTEGER)" for i in range(5))} <= 2),
+    lead AS (SELECT mate, id AS centre, seq AS centre_seq, n AS size FROM us WHERE n >= 2 AND (mate, id) NOT IN (SELECT (mate, id) FROM fol)),
+    li AS (SELECT us.mate, us.id, us.n, us.seq, us.w, lead.centre, centre_seq, lead.size, hamming(us.seq, centre_seq) AS different
+      FROM us JOIN lead ON us.mate = lead.mate WHERE hamming(us.seq, centre_seq) <= 2),
+    lr AS (SELECT *, list_sum(list_transform(range(1, length(seq) + 1), lambda i: ln(CASE WHEN seq[i] = centre_seq[i] THEN 1 - 3 * w[i] ELSE w[i] END))) AS log_rate FROM li),
+    be AS (SELECT *, size * exp(log_rate) AS mu, row_number() OVER (PARTITION BY mate, id ORDER BY id = centre DESC, round(ln(size) + log_rate, 9) DESC, centre DESC) AS rk FROM lr)
+    SELECT mate, id, centre, CAST(different AS BIGINT) AS different, round(log_rate, 6) AS log_rate, size, n, CASE WHEN id = centre OR n <= 1 THEN 0.0e0 ELSE
+      round(least(0.0e0, n * ln(mu) - mu - lgamma(n + 1) - ln(1 - exp(-mu))
+        + ln(list_sum(list_transform(range(0, 500), lambda j: exp(j * ln(mu) - lgamma(n + j + 1) + lgamma(n + 1)))))), 6) END AS log_p FROM be WHERE rk = 1""",
+)
+def r5_step(spark, sf):
+    steps = []
+    for mate in (1, 2):
+        uniques = denoising.unique_reads(_cut_reads(spark, sf).filter(F.col("mate") == mate))
+        steps.append(denoising.first_step(uniques, denoising.nominal_rates()).select(F.lit(mate).alias("mate"), "*"))
+    return _r(steps[0].union(steps[1]), 6, "log_rate", "log_p")
+
+
+@query("r5_divisive")
+def r5_divisive(spark, sf):
+    return denoising.denoised(_cut_reads(spark, sf, 20, 16), rounds=2).groupBy("sample_id", "mate", "seq").agg(F.count(F.lit(1)).alias("count"))
+
+
 _MERGED = with_("reads") + """, pr AS (SELECT a.sample_id, a.read_id, a.seq AS f, reverse(translate(b.seq, 'ACGT', 'TGCA')) AS r
       FROM reads a JOIN reads b ON a.sample_id = b.sample_id AND a.read_id = b.read_id AND a.mate = 1 AND b.mate = 2),
     ov AS (SELECT *, list_max(list_filter(range(12, least(length(f), length(r)) + 1),
