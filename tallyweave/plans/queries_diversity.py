@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import significant_all
-from tallyweave.operators import distance, diversity, ordination, permanova, rarefaction, timecourse
+from tallyweave.operators import distance, diversity, ordination, permanova, rarefaction, scaling, timecourse
 from tallyweave.plans import standin
 from tallyweave.plans.registry import query
 from tallyweave.plans.standin import with_
@@ -294,6 +294,32 @@ def d8(spark, sf):
     return _r(permanova.dispersion(_course_dist(spark, sf), meta, "grp"), 7, "distance")
 
 
+@query(
+    "d8_centred_distances",
+    with_("course") + _bray_sql("course")
+    + """, sq AS (SELECT sample_a, sample_b, d * d AS d2 FROM dist),
+    rs AS (SELECT sample_id, sum(d2) / (SELECT count(*) FROM sums) AS r FROM (SELECT sample_a AS sample_id, d2 FROM sq UNION ALL SELECT sample_b, d2 FROM sq) GROUP BY 1),
+    al AS (SELECT avg(r) AS m FROM rs)
+    SELECT sample_a, sample_b, round(-0.5 * (d2 - a.r - b.r + m), 9) AS value
+    FROM (FROM sq UNION ALL SELECT sample_id, sample_id, 0.0e0 FROM sums) JOIN rs a ON a.sample_id = sample_a JOIN rs b ON b.sample_id = sample_b, al""",
+)
+def d8_centred(spark, sf):
+    return _r(scaling.centred(_course_dist(spark, sf)), 9, "value")
+
+
+@query("d8_median_dispersion")
+def d8_median(spark, sf):
+    meta = standin.course_meta(spark, sf)
+    meta = meta.withColumn("grp", F.concat_ws("_", "room", F.col("day").cast("string")))
+    return _r(scaling.median_dispersion(_course_dist(spark, sf), meta, "grp"), 6, "distance")
+
+
+@query("d9_nonmetric_scaling")
+def d9_nonmetric(spark, sf):
+    points, _ = scaling.nonmetric(_course_dist(spark, sf), tolerance=1e-4)
+    return _r(points, 6, "axis1", "axis2")
+
+
 def _ordination_sql(t: str, digits: int, squarings: int = 12) -> str:
     """Axes from the samples' Gram matrix: powers by repeated squaring give the first, the same without it the second."""
 
