@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import null_unclassified
 from tallyweave.operators import amplicon as A
-from tallyweave.operators import denoising
+from tallyweave.operators import denoising, descent
 from tallyweave.plans import standin
 from tallyweave.plans.registry import query
 from tallyweave.plans.standin import table, with_
@@ -237,3 +237,45 @@ def r9(spark, sf):
 def r10(spark, sf):
     out = _classified(spark, sf).withColumns({"lang": null_unclassified("lang"), "source": null_unclassified("source")})
     return out.filter(F.col("source").isNull()).select("id", "lang", "source")
+
+
+def _descent_level(level: int, frontier: str) -> str:
+    """Votes of the queries standing in ``frontier(id, node)`` as ``won<level>(id, winner, share)``."""
+    return f""", sc{level} AS (SELECT id, subset, child, sum(weight) AS score FROM qk JOIN {frontier} USING (id) JOIN chosen USING (node, kmer) GROUP BY ALL),
+    bs{level} AS (SELECT id, subset, child FROM (SELECT *, row_number() OVER (PARTITION BY id, subset ORDER BY score DESC, child) AS rk FROM sc{level}) WHERE rk = 1),
+    vo{level} AS (SELECT id, child, count(*) AS votes FROM bs{level} GROUP BY 1, 2),
+    won{level} AS (SELECT id, child AS winner, votes / CAST(al AS DOUBLE) AS share FROM (SELECT *, sum(votes) OVER (PARTITION BY id) AS al,
+      row_number() OVER (PARTITION BY id ORDER BY votes DESC, child) AS rk FROM vo{level}) WHERE rk = 1)"""
+
+
+_DESCENT = (
+    """WITH rk AS (SELECT lang, source, substr(text, CAST(i AS INTEGER), 8) AS kmer FROM (SELECT lang, source, text, unnest(range(1, length(text) - 6)) AS i FROM documents)),
+    lv AS (SELECT '' AS node, lang AS child, kmer, count(*) AS n FROM rk GROUP BY ALL UNION ALL
+      SELECT lang AS node, lang || ';' || source AS child, kmer, count(*) AS n FROM rk GROUP BY ALL),
+    cn AS (SELECT *, sum(n) OVER (PARTITION BY node, child) AS cs, sum(n) OVER (PARTITION BY node, kmer) AS ks, sum(n) OVER (PARTITION BY node) AS ns FROM lv),
+    ra AS (SELECT *, ln(((n + 0.5e0) / (cs + 1.0e0)) / ((ks - n + 0.5e0) / (ns - cs + 1.0e0))) AS ratio FROM cn WHERE cs < ns),
+    chosen AS MATERIALIZED (SELECT node, child, kmer, weight FROM (SELECT *, row_number() OVER (PARTITION BY node, child ORDER BY round(n * ratio, 6) DESC, kmer) AS place
+      FROM (SELECT *, CAST(round(1000.0e0 * ratio) AS BIGINT) AS weight FROM ra WHERE ratio >= ln(2.0e0))) WHERE place <= 200),
+    asked AS (SELECT conv_id || '.' || turn AS id, text FROM conversations UNION ALL SELECT 'short', 'abc'),
+    qk AS MATERIALIZED (SELECT DISTINCT id, CAST('0x' || substr(md5('1/' || kmer), 1, 8) AS BIGINT) % 20 AS subset, kmer FROM
+      (SELECT id, substr(text, CAST(i AS INTEGER), 8) AS kmer FROM (SELECT *, unnest(range(1, length(text) - 6)) AS i FROM asked))
+      WHERE kmer IN (SELECT kmer FROM chosen)),
+    f1 AS (SELECT DISTINCT id, '' AS node FROM asked)"""
+    + _descent_level(1, "f1")
+    + ", f2 AS (SELECT id, winner AS node FROM won1 WHERE share >= 0.6e0)"
+    + _descent_level(2, "f2")
+    + """ SELECT f1.id, coalesce(f2.node, 'unclassified_root') AS lang,
+    CASE WHEN won2.share >= 0.6e0 THEN split_part(won2.winner, ';', 2) ELSE 'unclassified_' || coalesce(f2.node, 'root') END AS source,
+    coalesce(won1.share, 0) AS lang_confidence, coalesce(won2.share, 0) AS source_confidence
+    FROM f1 LEFT JOIN won1 USING (id) LEFT JOIN f2 USING (id) LEFT JOIN won2 USING (id)"""
+)
+
+
+@query("r9_tree_descent", _DESCENT)
+def r9_descent(spark, sf):
+    asked = parallel_scan(table(spark, sf, "conversations")).select(
+        F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("seq")
+    )
+    asked = asked.union(spark.createDataFrame([("short", "abc")], "id string, seq string"))  # too short for a k-mer
+    known = parallel_scan(table(spark, sf, "documents")).select("lang", "source", F.col("text").alias("seq"))
+    return descent.classify(asked, known, ["lang", "source"])
