@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.operators.rarefaction import rarefy
+from tallyweave.operators.rarefaction import rarefy, rarefy_cells
 from tallyweave.session import spread
 
 _ROWS_PER_TILE = 2_000_000
@@ -181,6 +181,15 @@ def average_rarefied_distance(
     return each.groupBy("sample_a", "sample_b").agg(F.avg("d").alias("d"))
 
 
+def average_rarefied_distance_by_cells(
+    abund: DataFrame, depth: int | None = None, iterations: int = 100, seed: int | str = 1, block: int = 128
+) -> DataFrame:
+    """Mean Bray-Curtis distance over repeated rarefaction, drawn cell by cell."""
+    layout = _layout(abund, [], block)
+    each = bray_curtis(rarefy_cells(abund, depth, seed, iterations), ["iteration"], block, layout)
+    return each.groupBy("sample_a", "sample_b").agg(F.avg("d").alias("d"))
+
+
 def nearest_control(abund: DataFrame, controls: DataFrame) -> DataFrame:
     """For every other sample its closest control and the distance to it; ties go to the smaller id."""
     others = abund.select("sample_id").distinct().join(controls, "sample_id", "left_anti")

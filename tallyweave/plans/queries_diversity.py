@@ -112,6 +112,16 @@ def d4(spark, sf):
     return _r(distance.average_rarefied_distance(standin.dense(spark, sf), iterations=5, seed=7), 9, "d")
 
 
+@query("d1_rarefy_cells")
+def d1_cells(spark, sf):
+    return rarefaction.rarefy_cells(standin.dense(spark, sf), seed=7).drop("iteration")
+
+
+@query("d4_average_distance_by_cells")
+def d4_cells(spark, sf):
+    return _r(distance.average_rarefied_distance_by_cells(standin.dense(spark, sf), iterations=100, seed=7), 9, "d")
+
+
 @query(
     "j6_sample_pairs",
     with_("dense") + """ SELECT a.sample_id AS sample_a, b.sample_id AS sample_b, CAST(sum(least(a.count, b.count)) AS BIGINT) AS shared
