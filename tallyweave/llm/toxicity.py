@@ -50,7 +50,8 @@ _HINTS = (
 )
 _SEPARATORS = set(" .-_*~/")
 _LETTERS = 28  # 0: word boundary, 1 to 26: a to z, 27: any other letter
-_CODE = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0 for b in range(256)], np.int64)
+_CODE = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0 for b in range(256)], np.uint8)
+_SLICE = 1 << 20
 _WILD = 4.0  # cost of a sign read as a letter, a dropped separator or repetition (in nats)
 _COSTS = {"same": 0.0, "sign": 1.0, "digit kept": 6.0, "join": 0.2, "split": 2.0, "drop repeat": 0.7, "drop double": 6.0}
 _PREFIXES = (4, 5, 6, 7, 8)
@@ -70,9 +71,30 @@ class CharacterModel:
 
     @staticmethod
     def counts(texts: Iterable[bytes | None]) -> np.ndarray:
-        code = _CODE[np.frombuffer(b"  ".join([b"", *(t or b"" for t in texts), b""]), np.uint8)]
-        code = code[np.append(True, (code[1:] != 0) | (code[:-1] != 0))]  # one boundary between words
-        return np.bincount((code[:-2] * _LETTERS + code[1:-1]) * _LETTERS + code[2:], minlength=_LETTERS**3) if len(code) > 2 else np.zeros(_LETTERS**3, np.int64)
+        """Counts over texts, taken in groups of about a megabyte; within a longer text, window by window."""
+        total, group, size = np.zeros(_LETTERS**3, np.int64), [], 0
+        for t in texts:
+            if t:
+                group.append(t)
+                size += len(t)
+            if size >= _SLICE:
+                total += CharacterModel._counted(group)
+                group, size = [], 0
+        return total + CharacterModel._counted(group)
+
+    @staticmethod
+    def _counted(texts: list[bytes]) -> np.ndarray:
+        total = np.zeros(_LETTERS**3, np.int64)
+        raw = np.frombuffer(b"  ".join([b"", *texts, b""]), np.uint8)
+        end = np.zeros(0, np.uint8)
+        for a in range(0, len(raw), _SLICE):
+            code = np.concatenate([end, _CODE[raw[a : a + _SLICE]]])
+            code = code[np.append(True, (code[1:] != 0) | (code[:-1] != 0))]  # one boundary between words
+            if len(code) > 2:
+                wide = code.astype(np.int32)
+                total += np.bincount((wide[:-2] * _LETTERS + wide[1:-1]) * _LETTERS + wide[2:], minlength=_LETTERS**3)
+            end = code[-2:]
+        return total
 
 
 def _letter(c: str) -> int:

@@ -100,3 +100,21 @@ def test_without_both_classes(spark, documents):
 def test_character_counts_grow_with_the_texts(documents):
     one, two = toxicity.character_counts(documents([(1, "abc")])), toxicity.character_counts(documents([(1, "abc"), (2, "abc abc"), (3, None)]))
     assert two.sum() > one.sum() > 0 and toxicity.character_counts(documents([])).sum() == 0
+
+
+def test_counting_letters_takes_little_memory(monkeypatch):
+    import tracemalloc
+
+
+    texts = [b"Some words, and more of them.  " * 80 for _ in range(10000)] + [b"one long text " * 200_000]
+    tracemalloc.start()
+    counted = toxicity.CharacterModel.counts(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20 and counted.sum() > 20_000_000
+    # windows inside a text don't show
+    monkeypatch.setattr(toxicity, "_SLICE", 7)
+    long = [b"ab  cd, -- efg" * 30]
+    small = toxicity.CharacterModel._counted(long)
+    monkeypatch.setattr(toxicity, "_SLICE", 1 << 20)
+    assert (small == toxicity.CharacterModel._counted(long)).all() and isinstance(small, np.ndarray)
