@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.countset import CountSet
 from tallyweave.functions import ranking as R
-from tallyweave.operators import cleaning, contamination, diffabund, distance, diversity, models, permanova, summaries
+from tallyweave.operators import chunkmodels, cleaning, contamination, diffabund, distance, diversity, models, permanova, summaries
 from tallyweave.plans import catalogue, standin
 from tallyweave.plans.explore import explore
 from tallyweave.plans.queries_diversity import _bray_sql, _permanova_sql
@@ -305,6 +305,52 @@ def m12(spark, sf):
     )
 
 
+_ONE_WAY = (
+    with_("course", "course_meta")
+    + """, dg AS (SELECT sample_id, room FROM course_meta), gn AS (SELECT room, count(*) AS n FROM dg GROUP BY 1),
+    al AS (SELECT sum(n) AS nn, count(*) AS p FROM gn),
+    fg AS (SELECT feature_id, room, n, coalesce(t, 0) AS t, coalesce(t2, 0) AS t2 FROM (SELECT DISTINCT feature_id FROM course) CROSS JOIN gn
+      LEFT JOIN (SELECT feature_id, room, sum(count) AS t, sum(count * count) AS t2 FROM course JOIN dg USING (sample_id) GROUP BY 1, 2) USING (feature_id, room)),
+    mo AS (SELECT feature_id, base_mean, greatest((ss / (nn - p) - base_mean) / (base_mean * base_mean), 1e-4) AS moment FROM (
+      SELECT feature_id, sum(t) / CAST(any_value(nn) AS DOUBLE) AS base_mean, sum(t2) - sum(t * t / CAST(n AS DOUBLE)) AS ss, any_value(nn) AS nn, any_value(p) AS p FROM fg, al GROUP BY 1)),
+    ft AS (SELECT greatest(coalesce(covar_samp(moment, 1 / base_mean) / nullif(var_samp(1 / base_mean), 0), 0), 0) AS a1, avg(moment) AS m, avg(1 / base_mean) AS mi FROM mo),
+    ds AS (SELECT feature_id, base_mean, exp((nn - p) / (nn - p + 10.0e0) * ln(moment) + (1 - (nn - p) / (nn - p + 10.0e0)) * ln(greatest(m - a1 * mi, 1e-3) + a1 / base_mean)) AS dispersion
+      FROM mo, ft, al),
+    gm AS (SELECT feature_id, room, t / CAST(n AS DOUBLE) AS mu, n FROM fg),
+    wg AS (SELECT *, n * mu / (1 + dispersion * mu) AS w, min(mu) OVER (PARTITION BY feature_id) AS least FROM gm JOIN ds USING (feature_id))
+    SELECT a.feature_id, 'room_' || b.room || '_vs_R0' AS coefficient, round(a.base_mean, 4) AS base_mean, round(a.dispersion, 4) AS dispersion,
+    round(log2(b.mu / a.mu), 4) AS log2fc, round(sqrt(1 / a.w + 1 / b.w) / ln(2), 4) AS lfc_se
+    FROM wg a JOIN wg b ON a.feature_id = b.feature_id AND a.room = 'R0' AND b.room <> 'R0' WHERE a.least > 0"""
+)
+
+
+@query("m10_wald_one_way", _ONE_WAY)
+def m10_one_way(spark, sf):
+    """Groups alone and equal size factors, for features met in every group: the case with a closed form."""
+    meta, abund = standin.course_meta(spark, sf), standin.course(spark, sf)
+    design, names = diffabund.factor_design(meta, "room", REGIONS)
+    factors = meta.select("sample_id", F.lit(1.0).alias("size_factor"))
+    out = chunkmodels.wald_tests(abund, design, names, factors, chunk=64)
+    everywhere = abund.join(meta, "sample_id").groupBy("feature_id").agg(F.count_distinct("room").alias("rooms")).filter(F.col("rooms") == len(REGIONS))
+    out = out.join(everywhere, "feature_id", "left_semi")
+    return _r(out, 4, "base_mean", "dispersion", "log2fc", "lfc_se").select("feature_id", "coefficient", "base_mean", "dispersion", "log2fc", "lfc_se")
+
+
+@query("m11_chunked_ratio_tests")
+def m11_chunked(spark, sf):
+    meta = standin.course_meta(spark, sf)
+    design, names, reduced = diffabund.interaction_design(meta, "room", REGIONS, "day")
+    out = chunkmodels.likelihood_ratio_tests(standin.course(spark, sf), design, names, reduced, chunk=64)
+    return _r(out, 5, "base_mean", "dispersion", "statistic", "log2fc", "p_value", "padj")
+
+
+@query("m12_heavy_tailed_fold_changes")
+def m12_heavy(spark, sf):
+    return _r(chunkmodels.shrink_heavy_tailed(_wald(spark, sf)), 5, "log2fc", "lfc_se", "log2fc_shrunk", "lfc_sd").select(
+        "feature_id", "coefficient", "log2fc", "lfc_se", "log2fc_shrunk", "lfc_sd"
+    )
+
+
 def _ratio_tests(spark, sf, levels):
     meta = standin.course_meta(spark, sf)
     design, names, reduced = diffabund.interaction_design(meta, "room", levels, "day")
