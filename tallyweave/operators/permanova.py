@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.draws import draw_key
-from tallyweave.functions.ranking import bonferroni, pairs_of_groups
+from tallyweave.functions.ranking import bonferroni, global_index, pairs_of_groups
 from tallyweave.session import checkpointed, spread
 
 
@@ -34,6 +36,74 @@ def _permuted_labels(members: DataFrame, sizes: DataFrame, permutations: int, se
     )
 
 
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_ROUNDS = 8
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers stirred so that each input bit reaches all output bits."""
+    with np.errstate(over="ignore"):
+        x = x + _MIX[0]
+        x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+        x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+        return x ^ (x >> np.uint64(31))
+
+
+def walked_ranks(rank: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where a seeded permutation of 0 to n - 1 sends each rank, computed for that rank alone.
+
+    The permutation is a Feistel cipher of a power of four that holds n (64 at least); a value beyond n is enciphered again until
+    it falls below. Elementwise over arrays; ``key`` names the permutation.
+    """
+    half = np.maximum(3, (np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) + 1) // 2).astype(np.uint64)
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    out, todo = rank.astype(np.uint64), np.arange(len(rank))
+    while len(todo):
+        h, m, k, x = half[todo], mask[todo], key[todo], out[todo]
+        left, right = x >> h, x & m
+        for r in range(_ROUNDS):
+            left, right = right, left ^ (_mixed(_mixed(k + np.uint64(r)) ^ right) & m)
+        out[todo] = (left << h) | right
+        todo = todo[out[todo] >= n[todo].astype(np.uint64)]
+    return out.astype(np.int64)
+
+
+def _walked_labels(members: DataFrame, sizes: DataFrame, permutations: int, seed, per_array: int) -> DataFrame:
+    """The labels of ``_permuted_labels`` from permuted ranks that each sample computes by itself: nothing is ordered or gathered."""
+    by = Window.partitionBy("comparison").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sizes.withColumn("end", F.sum("n_g").over(by)).groupBy("comparison").agg(F.array_sort(F.collect_list("end")).alias("ends"))
+    numbered = checkpointed(global_index(members, [F.col("comparison"), F.col("sample_id")]))
+    first = numbered.groupBy("comparison").agg(F.min("idx").alias("first"))
+    known = numbered.join(first, "comparison").join(sizes.select("comparison", "grp", "code"), ["comparison", "grp"]).join(ends, "comparison")
+    known = known.select("comparison", "sample_id", "code", (F.col("idx") - F.col("first")).alias("rank"), "ends")
+    blocks = F.sequence(F.lit(0), F.lit(permutations // per_array))
+    rows = spread(known, "comparison", "sample_id").withColumn("perm_block", F.explode(blocks))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bases: dict[str, int] = {}
+        for whole in batches:
+            for a in range(0, len(whole), 200):
+                b = whole.iloc[a : a + 200]
+                first, last = b["perm_block"].to_numpy(np.int64) * per_array, (b["perm_block"].to_numpy(np.int64) + 1) * per_array
+                size = np.minimum(last, permutations + 1) - first
+                at = np.repeat(np.arange(len(b)), size)
+                perm = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + first[at]
+                for c in b["comparison"]:
+                    if c not in bases:
+                        bases[c] = int.from_bytes(hashlib.sha256(f"{seed}/{c}".encode()).digest()[:8], "little")
+                base = np.array([bases[c] for c in b["comparison"]], np.uint64)
+                ends = [np.asarray(e, np.int64) for e in b["ends"]]
+                n = np.array([e[-1] for e in ends], np.int64)
+                ranks = walked_ranks(b["rank"].to_numpy(np.int64)[at], n[at], _mixed(base[at] ^ _mixed(perm.astype(np.uint64))))
+                codes = [np.searchsorted(e, r, side="right") + 1 for e, r in zip(ends, np.split(ranks, np.cumsum(size)[:-1]))]
+                for k, (c, f) in enumerate(zip(b["code"], first)):
+                    if f == 0:
+                        codes[k][0] = c
+                yield pd.DataFrame({"comparison": b["comparison"], "sample_id": b["sample_id"], "perm_block": b["perm_block"], "codes": [c.tolist() for c in codes]})
+
+    return rows.mapInPandas(each, "comparison string, sample_id string, perm_block int, codes array<int>")
+
+
 def _within_sums(per_array: int):
     """Per tile: squared distances inside each label, for every permutation of the block."""
 
@@ -74,9 +144,12 @@ def permanova(
     seed: int | str = 1,
     block: int = 256,
     per_array: int = 500,
+    walk: bool = False,
 ) -> DataFrame:
     """One row per comparison: ``df, sums_of_sqs, f_model, r2, p_value``.
 
+    With ``walk`` each sample computes its own place in every permutation, for comparisons and numbers of permutations of any size.
+
     ``dist(sample_a, sample_b, d)`` and ``members(comparison, sample_id, grp)``. Squared distances are tiled by sample
     block and meet blocks of permuted labels; the sums per (permutation, label) are added up over the tiles. Members
     without any distance take no part. ``dist`` is read twice, so it should be a stored table.
@@ -101,7 +174,8 @@ def permanova(
     tiles = pairs.withColumns({"x": place("sample_a"), "y": place("sample_b")}).withColumn(
         "perm_block", F.explode(F.sequence(F.lit(0), F.lit(perm_blocks - 1)))
     )
-    labels = _permuted_labels(members, sizes, permutations, seed, per_array).withColumn("own", place("sample_id"))
+    deal = _walked_labels if walk else _permuted_labels
+    labels = deal(members, sizes, permutations, seed, per_array).withColumn("own", place("sample_id"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     spots = F.array_union(
         F.transform(every, lambda k: F.struct(F.col("own").alias("x"), k.alias("y"))),
@@ -197,10 +271,10 @@ def stars(p: str) -> Column:
     )
 
 
-def pairwise_permanova(dist: DataFrame, meta: DataFrame, *group: str, permutations: int = 999, seed: int | str = 1) -> DataFrame:
+def pairwise_permanova(dist: DataFrame, meta: DataFrame, *group: str, permutations: int = 999, seed: int | str = 1, walk: bool = False) -> DataFrame:
     """A permutation test for every pair of groups, with Bonferroni-adjusted p-values over all pairs."""
     pairs, members = pairwise_members(meta, *group)
-    tested = checkpointed(permanova(dist, members, permutations, seed))
+    tested = checkpointed(permanova(dist, members, permutations, seed, walk=walk))
     out = bonferroni(tested, "p_value", out="p_adjusted").withColumn("sig", stars("p_adjusted"))
     return pairs.join(out, "comparison").drop("comparison").withColumnRenamed("name", "pairs")
 

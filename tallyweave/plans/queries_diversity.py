@@ -225,6 +225,13 @@ def d6(spark, sf):
     return _r(_r(_r(out, 7, "sums_of_sqs", "r2"), 6, "f_model"), 9, "p_value", "p_adjusted")
 
 
+@query("d6_pairwise_walked")
+def d6_walked(spark, sf):
+    """All pairs of rooms and days with the time course's 9,999 permutations."""
+    out = permanova.pairwise_permanova(_course_dist(spark, sf), standin.course_meta(spark, sf), "room", "day", permutations=9999, seed=6, walk=True)
+    return _r(_r(_r(out, 7, "sums_of_sqs", "r2"), 6, "f_model"), 9, "p_value", "p_adjusted")
+
+
 def _bh_sql(source: str) -> str:
     return f"""SELECT *, CASE WHEN p_value IS NOT NULL THEN
         least(min(raw) OVER (ORDER BY p_value ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0e0) END AS fdr
