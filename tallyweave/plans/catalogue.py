@@ -6,11 +6,20 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyweave.countset import CountSet
+from tallyweave.operators import distance, permanova
+from tallyweave.plans.explore import PARTS, explore
+from tallyweave.session import checkpointed
 
 
 @dataclass(frozen=True)
 class Comparison:
-    """``sides`` maps a level (reference first) to the design cells it pools; ``min_total`` prunes rare features."""
+    """``sides`` maps a level (reference first) to the design cells it pools.
+
+    Of a comparison's samples, features stay with more than ``min_total`` counts in more than ``min_prevalence`` samples.
+    """
 
     name: str
     variable: str
@@ -49,11 +58,52 @@ def trial_catalogue() -> list[Comparison]:
 
 
 def as_table(spark: SparkSession, comparisons: Sequence[Comparison], types: str) -> DataFrame:
-    """One row per (comparison, level, design cell)."""
-    rows = [(c.name, c.variable, level, *cell) for c in comparisons for level, cells in c.sides for cell in cells]
-    return spark.createDataFrame(rows, f"comparison string, variable string, grp string, {types}")
+    """One row per (comparison, level, design cell), with the comparison's limits."""
+    rows = [(c.name, c.variable, level, c.min_total, c.min_prevalence, *cell) for c in comparisons for level, cells in c.sides for cell in cells]
+    return spark.createDataFrame(rows, f"comparison string, variable string, grp string, min_total bigint, min_prevalence bigint, {types}")
 
 
 def members(catalogue: DataFrame, meta: DataFrame, on: Sequence[str]) -> DataFrame:
     """``(comparison, sample_id, grp)`` for all comparisons at once."""
     return catalogue.join(meta, list(on)).select("comparison", "sample_id", "grp")
+
+
+def pruned(catalogue: DataFrame, abund: DataFrame, meta: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``comparison, grp, sample_id, feature_id, count``: the counts of each comparison's samples without its rare features.
+
+    All comparisons at once: one grouped count per (comparison, feature), joined back.
+    """
+    own = catalogue.join(meta, list(on)).select("comparison", "sample_id", "grp", "min_total", "min_prevalence")
+    counts = own.join(abund.filter(F.col("count") > 0), "sample_id")
+    seen = counts.groupBy("comparison", "feature_id").agg(
+        F.sum("count").alias("_total"), F.count_distinct("sample_id").alias("_samples"), F.first("min_total").alias("_t"), F.first("min_prevalence").alias("_p")
+    )
+    kept = seen.filter((F.col("_total") > F.col("_t")) & (F.col("_samples") > F.col("_p"))).select("comparison", "feature_id")
+    return counts.join(kept, ["comparison", "feature_id"]).select("comparison", "grp", "sample_id", "feature_id", "count")
+
+
+def permanova_all(counts: DataFrame, permutations: int = 999, seed: int | str = 1) -> DataFrame:
+    """A permutation test of every comparison of ``pruned`` counts on distances of its own features, in one job."""
+    one = F.concat_ws("/", "comparison", "sample_id").alias("sample_id")
+    counts = checkpointed(counts)
+    dist = distance.bray_curtis(counts.select("comparison", one, "feature_id", "count"), ["comparison"])
+    return permanova.permanova(checkpointed(dist.drop("comparison")), counts.select("comparison", one, "grp").distinct(), permutations, seed, walk=True)
+
+
+def explore_all(cs: CountSet, comparisons: Sequence[Comparison], on: Sequence[str], types: str, parts: Sequence[str] = PARTS, **options) -> dict[str, DataFrame]:
+    """``explore`` for each comparison of a catalogue on its pruned counts; parts of all comparisons in one table with ``comparison`` in front.
+
+    A catalogue is a short list written by hand: its comparisons are planned one after the other, each as Spark jobs over its rows.
+    """
+    spark = cs.abund.sparkSession
+    counts = checkpointed(pruned(as_table(spark, comparisons, types), cs.abund, cs.meta, on))
+    out: dict[str, DataFrame] = {}
+    for c in comparisons:
+        own = counts.filter(F.col("comparison") == c.name)
+        # a comparison's level takes the place of any column of that name
+        meta = cs.meta.drop(c.variable).join(own.select("sample_id", F.col("grp").alias(c.variable)).distinct(), "sample_id")
+        found = explore(CountSet(own.select("sample_id", "feature_id", "count"), meta, cs.tax), c.variable, c.levels, parts=parts, **options)
+        for part, df in found.items():
+            named = df.withColumnRenamed(c.variable, "grp").select(F.lit(c.name).alias("comparison"), "*")
+            out[part] = named if part not in out else out[part].unionByName(named)
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tallyweave.countset import CountSet
@@ -497,3 +499,40 @@ def m18_all(spark, sf):
     dist = checkpointed(distance.bray_curtis(standin.course(spark, sf)))
     out = permanova.permanova(dist, m18(spark, sf), permutations=999, seed=18)
     return _r(out, 6, "sums_of_sqs", "f_model", "r2", "p_value")
+
+
+def _limited_catalogue() -> list[catalogue.Comparison]:
+    return [replace(c, min_total=5, min_prevalence=3) for c in _room_catalogue()]
+
+
+_PRUNED = (
+    with_("course", "course_meta") + _CATALOGUE_SQL
+    + """, mc AS (SELECT comparison, grp, sample_id, feature_id, count FROM members JOIN course USING (sample_id)),
+    pruned AS (SELECT * FROM mc WHERE (comparison, feature_id) IN (SELECT (comparison, feature_id) FROM mc
+      GROUP BY comparison, feature_id HAVING sum(count) > 5 AND count(DISTINCT sample_id) > 3))"""
+)
+
+
+@query("m18_pruned_counts", _PRUNED + " SELECT * FROM pruned")
+def m18_pruned(spark, sf):
+    table = catalogue.as_table(spark, _limited_catalogue(), "room string, day int")
+    return catalogue.pruned(table, standin.course(spark, sf), standin.course_meta(spark, sf), ["room", "day"])
+
+
+@query(
+    "m18_permanova_pruned",
+    _PRUNED
+    + """, ts AS (SELECT comparison, grp, sample_id, CAST(sum(count) AS DOUBLE) AS t FROM pruned GROUP BY 1, 2, 3),
+    sh AS (SELECT a.comparison, a.sample_id AS x, b.sample_id AS y, sum(least(a.count, b.count)) AS s FROM pruned a JOIN pruned b
+      ON a.comparison = b.comparison AND a.feature_id = b.feature_id AND a.sample_id < b.sample_id GROUP BY 1, 2, 3),
+    dd AS (SELECT a.comparison, a.grp AS ga, b.grp AS gb, pow(1 - 2.0e0 * coalesce(s, 0) / (a.t + b.t), 2) AS d2 FROM ts a JOIN ts b ON a.comparison = b.comparison
+      AND a.sample_id < b.sample_id LEFT JOIN sh ON sh.comparison = a.comparison AND x = a.sample_id AND y = b.sample_id),
+    gn AS (SELECT comparison, grp, count(*) AS n FROM ts GROUP BY 1, 2), cn AS (SELECT comparison, sum(n) AS n, count(*) AS g FROM gn GROUP BY 1),
+    wi AS (SELECT comparison, sum(s / n) AS ssw FROM (SELECT comparison, ga AS grp, sum(d2) AS s FROM dd WHERE ga = gb GROUP BY 1, 2) JOIN gn USING (comparison, grp) GROUP BY 1),
+    al AS (SELECT comparison, sum(d2) AS s FROM dd GROUP BY 1)
+    SELECT comparison, g - 1 AS df, round(s / n - ssw, 6) AS sums_of_sqs, round(((s / n - ssw) / (g - 1)) / (ssw / (n - g)), 6) AS f_model,
+    round((s / n - ssw) / (s / n), 6) AS r2 FROM cn JOIN wi USING (comparison) JOIN al USING (comparison)""",
+)
+def m18_permanova(spark, sf):
+    """The observed statistics of every comparison on its own pruned features; ``permanova_all`` adds p-values."""
+    return _r(catalogue.permanova_all(m18_pruned(spark, sf), permutations=0).drop("p_value"), 6, "sums_of_sqs", "f_model", "r2")
