@@ -144,15 +144,20 @@ def consecutive(df: DataFrame, first: str, second: str, levels: Sequence) -> Dat
     return df.filter(F.try_element_at(F.create_map(*pairs), F.col(first)) == F.col(second))
 
 
-def nest(df: DataFrame, key: str, cells: int = 1) -> DataFrame:
-    """Rows of each key as arrays of structs in ``cells`` numbered cells, as many for every key, whatever its size.
+def nest(df: DataFrame, key: str, size: int = 1000) -> DataFrame:
+    """Rows of each key as arrays of structs, in numbered cells of about ``size`` rows.
 
-    Rows are dealt out in turn, equal ones too, so a cell holds about its share; cells without rows are absent. Choose
-    ``cells`` so that the largest key divided by it fits into a row.
+    Keys are counted first and get as many cells as they need. Equal rows are counted too, so that they leave as one row: it begins at
+    the cell its hash names and deals its copies in turn. Cells follow from the rows alone, not from partitions; cells without rows are absent.
     """
     rest = [c for c in df.columns if c != key]
-    cell = F.pmod(F.monotonically_increasing_id(), F.lit(cells)).cast("int")
-    return df.withColumn("cell", cell).groupBy(key, "cell").agg(F.collect_list(F.struct(*rest)).alias("data"))
+    counted = df.groupBy(key, *rest).agg(F.count(F.lit(1)).alias("_n"))
+    cells = counted.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.sum("_n") / F.lit(size)).alias("_cells"))
+    met = counted.join(cells, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("_n", "_cells") - 1)))
+    copies = F.floor(F.col("_n") / F.col("_cells")) + (F.col("_i") < F.col("_n") % F.col("_cells")).cast("bigint")
+    cell = F.pmod(F.pmod(F.xxhash64(*rest), F.col("_cells")) + F.col("_i"), F.col("_cells")).cast("int")
+    dealt = met.select(key, cell.alias("cell"), F.array_repeat(F.struct(*rest), copies.cast("int")).alias("_rows"))
+    return dealt.groupBy(key, "cell").agg(F.array_sort(F.flatten(F.collect_list("_rows"))).alias("data"))
 
 
 def unnest(df: DataFrame, key: str) -> DataFrame:

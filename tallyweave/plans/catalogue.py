@@ -101,7 +101,9 @@ def explore_all(cs: CountSet, comparisons: Sequence[Comparison], on: Sequence[st
     for c in comparisons:
         own = counts.filter(F.col("comparison") == c.name)
         # a comparison's level takes the place of any column of that name
-        meta = cs.meta.drop(c.variable).join(own.select("sample_id", F.col("grp").alias(c.variable)).distinct(), "sample_id")
+        # columns of their own beside the counts, from which they come as well
+        level = own.select(F.col("sample_id").alias("sample_id"), F.col("grp").alias(c.variable)).distinct()
+        meta = level.join(cs.meta.drop(c.variable), "sample_id")
         found = explore(CountSet(own.select("sample_id", "feature_id", "count"), meta, cs.tax), c.variable, c.levels, parts=parts, **options)
         for part, df in found.items():
             named = df.withColumnRenamed(c.variable, "grp").select(F.lit(c.name).alias("comparison"), "*")

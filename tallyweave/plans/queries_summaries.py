@@ -378,12 +378,12 @@ def j5(spark, sf):
     "j7_replicates",
     with_("assay") + """ SELECT seed, grp, count(*) AS n,
     CAST(sum(coalesce(value, 1 + CAST('0x' || substr(md5(seed || '/' || id), 1, 8) AS BIGINT) % 20) * 100) AS BIGINT) AS total
-    FROM assay, range(1, 21) s(seed) GROUP BY 1, 2""",
+    FROM assay, range(1, 101) s(seed) GROUP BY 1, 2""",
 )
 def j7(spark, sf):
     from tallyweave.operators.models import replicate
 
-    runs = replicate(standin.assay(spark, sf), 20)
+    runs = replicate(standin.assay(spark, sf), 100)
     filled = cleaning.impute_missing(runs, "value", ["id"], seed=F.col("seed"))
     return filled.groupBy("seed", "grp").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("total")
