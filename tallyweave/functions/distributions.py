@@ -86,6 +86,16 @@ def t_quantile(p: float, df) -> np.ndarray:
     return np.where(df > 0, (lo + hi) / 2.0, np.nan)
 
 
+def f_quantile(p: float, df1: float, df2: float) -> float:
+    """The value that an F variable stays below with probability ``p``, by bisection on the incomplete beta function."""
+    lo, hi = 0.0, 1.0
+    for _ in range(80):
+        z = (lo + hi) / 2
+        below = float(beta_inc(np.array([df1 / 2.0]), np.array([df2 / 2.0]), np.array([z]))[0]) < p
+        lo, hi = (z, hi) if below else (lo, z)
+    return df2 * lo / (df1 * max(1.0 - lo, 1e-300))
+
+
 def _nullable(values) -> pd.Series:
     out = pd.Series(np.asarray(values, dtype=float))
     return out.astype(object).where(out.notna(), None)

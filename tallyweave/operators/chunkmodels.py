@@ -26,7 +26,7 @@ _RIDGE = 1e-6
 
 
 class Tiles:
-    """Counts and design cut into (block of features, chunk of samples); ``blocks`` has each block's features in order."""
+    """Counts and design cut into (block of features, chunk of samples); ``blocks`` has each block's features in order, ``places`` each chunk's samples."""
 
     def __init__(self, abund: DataFrame, design: DataFrame, factors: DataFrame | None, block: int, chunk: int):
         cells = checkpointed(abund.filter(F.col("count") > 0).join(design.select("sample_id"), "sample_id", "left_semi").select("sample_id", "feature_id", "count"))
@@ -42,7 +42,7 @@ class Tiles:
         parts = design.withColumn("chunk", F.pmod(F.xxhash64("sample_id"), F.lit(self.chunks)).cast("int")).groupBy("chunk").agg(in_chunk.alias("r"))
         parts = checkpointed(parts)
         f = self.blocks.select("block", F.posexplode("features").alias("f", "feature_id"))
-        i = parts.select("chunk", F.posexplode(F.transform("r", lambda r: r["sample_id"])).alias("i", "sample_id"))
+        i = self.places = parts.select("chunk", F.posexplode(F.transform("r", lambda r: r["sample_id"])).alias("i", "sample_id"))
         placed = cells.join(f, "feature_id").join(i, "sample_id").groupBy("block", "chunk")
         placed = placed.agg(F.collect_list("f").alias("f"), F.collect_list("i").alias("i"), F.collect_list(F.col("count").cast("double")).alias("k"))
         grid = self.blocks.select("block", F.size("features").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(self.chunks - 1))).alias("chunk"))
