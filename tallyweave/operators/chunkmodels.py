@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.distributions import chi2_pvalue, normal_pvalue
 from tallyweave.functions.ranking import benjamini_hochberg
 from tallyweave.operators.diffabund import size_factors
-from tallyweave.session import checkpointed, spread
+from tallyweave.session import checkpointed, spread, stored
 
 _FAN = 32
 _RIDGE = 1e-6
@@ -129,7 +129,7 @@ def _steps(tiles: Tiles, disp: DataFrame, width: int, rounds: int) -> DataFrame:
         return pd.DataFrame({"block": [row.block], "beta": [beta.tobytes()], "alpha": [np.asarray(row.alpha, float).tobytes()], "rest": [rest.tobytes()]})
 
     kind = "block int, beta binary, alpha binary, rest binary"
-    state = checkpointed(own.mapInPandas(_one_row(begin), kind))
+    state = stored(own.mapInPandas(_one_row(begin), kind), "newton")
 
     def parts(k: np.ndarray, x: np.ndarray, s: np.ndarray, row) -> np.ndarray:
         beta, a = np.frombuffer(row.beta).reshape(len(k), width), np.frombuffer(row.alpha)[:, None]
@@ -149,7 +149,7 @@ def _steps(tiles: Tiles, disp: DataFrame, width: int, rounds: int) -> DataFrame:
 
     for _ in range(rounds):
         met = tiles.sums(state, width, parts).join(state, "block")
-        moved = checkpointed(met.mapInPandas(_one_row(step), f"{kind}, left int"))
+        moved = stored(met.mapInPandas(_one_row(step), f"{kind}, left int"), "newton")
         state = moved.drop("left")
         if not (moved.agg(F.sum("left")).first()[0] or 0):
             break

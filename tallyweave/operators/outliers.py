@@ -20,7 +20,7 @@ from tallyweave.functions.ranking import benjamini_hochberg, counted_values, qua
 from tallyweave.operators import chunkmodels
 from tallyweave.operators.chunkmodels import Tiles
 from tallyweave.operators.diffabund import size_factors
-from tallyweave.session import checkpointed
+from tallyweave.session import checkpointed, stored
 
 _LEAST_DISPERSION = 0.04
 
@@ -65,7 +65,7 @@ def influential(tiles: Tiles, disp: DataFrame, width: int, cutoff: float, rounds
                 yield pd.DataFrame({"chunk": row.chunk, "i": i, "feature_id": np.asarray(row.features, object)[f], "influence": size[f, i]})
 
     cells = known.mapInPandas(each, "chunk int, i int, feature_id string, influence double")
-    return checkpointed(cells.join(tiles.places, ["chunk", "i"]).select("sample_id", "feature_id", "influence"))
+    return stored(cells.join(tiles.places, ["chunk", "i"]).select("sample_id", "feature_id", "influence"), "influence")
 
 
 def trimmed_means(abund: DataFrame, factors: DataFrame, samples: int, trim: float = 0.2) -> DataFrame:
@@ -106,11 +106,11 @@ def wald_without_outliers(
     cutoff = f_quantile(quantile, width, tiles.samples - width)
     sizes = design.groupBy("x").agg(F.count(F.lit(1)).alias("alike"))
     alike = design.join(sizes, "x").select("sample_id", "alike")
-    found = checkpointed(influential(tiles, chunkmodels.dispersions(tiles, width), width, cutoff, rounds).join(alike, "sample_id"))
+    found = influential(tiles, chunkmodels.dispersions(tiles, width), width, cutoff, rounds).join(alike, "sample_id")
     told = found.groupBy("feature_id").agg(
         F.count_if(F.col("alike") >= replicates).alias("replaced"), F.count_if((F.col("alike") >= 3) & (F.col("alike") < replicates)).alias("unclear")
     )
-    counts = replaced(abund, found.filter(F.col("alike") >= replicates), factors, tiles.samples)
+    counts = stored(replaced(abund, found.filter(F.col("alike") >= replicates), factors, tiles.samples), "replaced")
     out = chunkmodels.wald_tests(counts, design, names, **fit).drop("padj").join(told, "feature_id", "left").fillna(0, ["replaced", "unclear"])
     out = out.withColumn("p_value", F.when(F.col("unclear") == 0, F.col("p_value")))
     return benjamini_hochberg(checkpointed(out), "p_value", ["coefficient"], "padj")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.operators.chunkmodels import Tiles, _one_row, dispersions
-from tallyweave.session import checkpointed
+from tallyweave.session import stored
 
 _STEPS_PER_OCTAVE = 64
 
@@ -100,7 +100,7 @@ def regularised_log(
         level, a = np.log([r["base_mean"] for r in row.r]), np.array([r["dispersion"] for r in row.r])
         return pd.DataFrame({"block": [row.block], "level": [level.tobytes()], "a": [a.tobytes()]})
 
-    state = checkpointed(own.mapInPandas(_one_row(begin), "block int, level binary, a binary"))
+    state = stored(own.mapInPandas(_one_row(begin), "block int, level binary, a binary"), "levels")
 
     def parts(k: np.ndarray, x: np.ndarray, s: np.ndarray, row) -> np.ndarray:
         level, a = np.frombuffer(row.level)[:, None], np.frombuffer(row.a)[:, None]
@@ -115,7 +115,8 @@ def regularised_log(
         return pd.DataFrame({"block": [row.block], "level": [level.tobytes()], "a": [row.a], "left": [int((np.abs(move) > 1e-9).sum())]})
 
     for _ in range(rounds):
-        moved = checkpointed(tiles.sums(state, width, parts).join(state, "block").mapInPandas(_one_row(step), "block int, level binary, a binary, left int"))
+        met = tiles.sums(state, width, parts).join(state, "block")
+        moved = stored(met.mapInPandas(_one_row(step), "block int, level binary, a binary, left int"), "levels")
         state = moved.drop("left")
         left = moved.agg(F.sum("left")).first()[0] or 0
         if not left:

@@ -50,6 +50,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Materialise as a table below the shared folder and cut the lineage.
+
+    For loops whose rounds join what the last round left: a checkpoint keeps its plan's estimate of size, a product that each round
+    squares, until planning takes longer than the work; a stored table has the size of its files.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash rows over all shuffle partitions.
 
