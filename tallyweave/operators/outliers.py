@@ -144,6 +144,6 @@ def independent_filter(results: DataFrame, families: Sequence[str] = ("coefficie
     results = checkpointed(results.drop("padj"))
     limits = filter_limits(results, families, alpha, steps, top).drop("hits")
     same = [results[f].eqNullSafe(limits[f]) for f in families]
-    out = results.join(limits, same, "left").drop(*[limits[f] for f in families]) if families else results.crossJoin(limits)
+    out = results.join(limits, same, "left").drop(*[limits[f] for f in families])
     out = out.withColumn("_p", F.when(F.col("base_mean") >= F.col("limit"), F.col("p_value")))
     return benjamini_hochberg(checkpointed(out), "_p", families, "padj").drop("_p")

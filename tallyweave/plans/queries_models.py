@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.countset import CountSet
 from tallyweave.functions import ranking as R
-from tallyweave.operators import chunkmodels, cleaning, contamination, diffabund, distance, diversity, models, permanova, summaries
+from tallyweave.operators import chunkmodels, cleaning, contamination, diffabund, distance, diversity, models, outliers, permanova, regularised, summaries
 from tallyweave.plans import catalogue, standin
 from tallyweave.plans.explore import explore
 from tallyweave.plans.queries_diversity import _bray_sql, _permanova_sql
@@ -307,19 +307,20 @@ def m12(spark, sf):
     )
 
 
-_ONE_WAY = (
-    with_("course", "course_meta")
-    + """, dg AS (SELECT sample_id, room FROM course_meta), gn AS (SELECT room, count(*) AS n FROM dg GROUP BY 1),
+# group means, moment dispersions drawn to a trend: the one-way model with equal size factors, of the samples and rooms in dg
+_GROUP_MODEL = """, gn AS (SELECT room, count(*) AS n FROM dg GROUP BY 1),
     al AS (SELECT sum(n) AS nn, count(*) AS p FROM gn),
-    fg AS (SELECT feature_id, room, n, coalesce(t, 0) AS t, coalesce(t2, 0) AS t2 FROM (SELECT DISTINCT feature_id FROM course) CROSS JOIN gn
+    fg AS (SELECT feature_id, room, n, coalesce(t, 0) AS t, coalesce(t2, 0) AS t2 FROM (SELECT DISTINCT feature_id FROM course WHERE sample_id IN (SELECT sample_id FROM dg)) CROSS JOIN gn
       LEFT JOIN (SELECT feature_id, room, sum(count) AS t, sum(count * count) AS t2 FROM course JOIN dg USING (sample_id) GROUP BY 1, 2) USING (feature_id, room)),
     mo AS (SELECT feature_id, base_mean, greatest((ss / (nn - p) - base_mean) / (base_mean * base_mean), 1e-4) AS moment FROM (
       SELECT feature_id, sum(t) / CAST(any_value(nn) AS DOUBLE) AS base_mean, sum(t2) - sum(t * t / CAST(n AS DOUBLE)) AS ss, any_value(nn) AS nn, any_value(p) AS p FROM fg, al GROUP BY 1)),
     ft AS (SELECT greatest(coalesce(covar_samp(moment, 1 / base_mean) / nullif(var_samp(1 / base_mean), 0), 0), 0) AS a1, avg(moment) AS m, avg(1 / base_mean) AS mi FROM mo),
     ds AS (SELECT feature_id, base_mean, exp((nn - p) / (nn - p + 10.0e0) * ln(moment) + (1 - (nn - p) / (nn - p + 10.0e0)) * ln(greatest(m - a1 * mi, 1e-3) + a1 / base_mean)) AS dispersion
       FROM mo, ft, al),
-    gm AS (SELECT feature_id, room, t / CAST(n AS DOUBLE) AS mu, n FROM fg),
-    wg AS (SELECT *, n * mu / (1 + dispersion * mu) AS w, min(mu) OVER (PARTITION BY feature_id) AS least FROM gm JOIN ds USING (feature_id))
+    gm AS (SELECT feature_id, room, t / CAST(n AS DOUBLE) AS mu, n FROM fg)"""
+_ONE_WAY = (
+    with_("course", "course_meta") + ", dg AS (SELECT sample_id, room FROM course_meta)" + _GROUP_MODEL
+    + """, wg AS (SELECT *, n * mu / (1 + dispersion * mu) AS w, min(mu) OVER (PARTITION BY feature_id) AS least FROM gm JOIN ds USING (feature_id))
     SELECT a.feature_id, 'room_' || b.room || '_vs_R0' AS coefficient, round(a.base_mean, 4) AS base_mean, round(a.dispersion, 4) AS dispersion,
     round(log2(b.mu / a.mu), 4) AS log2fc, round(sqrt(1 / a.w + 1 / b.w) / ln(2), 4) AS lfc_se
     FROM wg a JOIN wg b ON a.feature_id = b.feature_id AND a.room = 'R0' AND b.room <> 'R0' WHERE a.least > 0"""
@@ -338,6 +339,68 @@ def m10_one_way(spark, sf):
     return _r(out, 4, "base_mean", "dispersion", "log2fc", "lfc_se").select("feature_id", "coefficient", "base_mean", "dispersion", "log2fc", "lfc_se")
 
 
+# two against one coefficient over three rooms: the p-value of two degrees of freedom is exp(-statistic / 2)
+_THREE_ROOMS = (
+    with_("course", "course_meta") + ", dg AS (SELECT sample_id, room FROM course_meta WHERE room IN ('R0', 'R1', 'R2'))" + _GROUP_MODEL
+    + """, lr AS (SELECT feature_id, base_mean, dispersion, greatest(2 * (sum(t * ln(greatest(mu, 1e-300)) - (t + n / dispersion) * ln(1 + dispersion * mu))
+      - (sum(t) * ln(base_mean) - (sum(t) + sum(n) / dispersion) * ln(1 + dispersion * base_mean))), 0) AS statistic
+      FROM gm JOIN fg USING (feature_id, room, n) JOIN ds USING (feature_id) GROUP BY 1, 2, 3 HAVING min(mu) > 0),
+    pv AS (SELECT *, exp(-statistic / 2) AS p FROM lr)"""
+)
+
+
+def _three_rooms(spark, sf):
+    meta, abund = standin.course_meta(spark, sf), standin.course(spark, sf)
+    rooms = REGIONS[:3]
+    design, names = diffabund.factor_design(meta, "room", rooms)
+    out = chunkmodels.likelihood_ratio_tests(abund, design, names, 1, meta.select("sample_id", F.lit(1.0).alias("size_factor")), chunk=64)
+    met = abund.join(meta.filter(F.col("room").isin(rooms)), "sample_id").groupBy("feature_id").agg(F.count_distinct("room").alias("rooms"))
+    return out.join(met.filter(F.col("rooms") == len(rooms)), "feature_id", "left_semi")
+
+
+@query(
+    "m11_one_way_ratio_tests",
+    _THREE_ROOMS + " SELECT feature_id, round(base_mean, 4) AS base_mean, round(dispersion, 4) AS dispersion, round(statistic, 4) AS statistic, round(p, 5) AS p_value FROM pv",
+)
+def m11_one_way(spark, sf):
+    out = _r(_three_rooms(spark, sf), 4, "base_mean", "dispersion", "statistic")
+    return _r(out, 5, "p_value").select("feature_id", "base_mean", "dispersion", "statistic", "p_value")
+
+
+@query(
+    "m10_independent_filter",
+    _THREE_ROOMS
+    + f""", th AS (SELECT unnest(generate_series(0, 49)) AS step, unnest(q) AS lim
+      FROM (SELECT quantile_cont(base_mean, [{", ".join(f"{0.95 * i / 49!r}e0" for i in range(50))}]) AS q FROM pv)),
+    rk AS (SELECT step, lim, p, count(*) OVER (PARTITION BY step ORDER BY p RANGE UNBOUNDED PRECEDING) AS r, count(*) OVER (PARTITION BY step) AS m
+      FROM th JOIN pv ON base_mean >= lim),
+    hs AS (SELECT step, lim, coalesce(max(r) FILTER (WHERE p * m / r <= 0.5e0), 0) AS hits FROM rk GROUP BY 1, 2),
+    bs AS (SELECT lim, hits FROM hs ORDER BY hits DESC, step LIMIT 1),
+    rw AS (SELECT feature_id, p, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw FROM pv, bs WHERE base_mean >= lim),
+    aj AS (SELECT feature_id, least(min(raw) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING), 1.0e0) AS padj FROM rw)
+    SELECT feature_id, round(base_mean, 4) AS base_mean, round(lim, 4) AS mean_limit, round(p, 5) AS p_value, round(padj, 5) AS padj
+    FROM pv LEFT JOIN aj USING (feature_id), bs""",
+)
+def m10_filtered(spark, sf):
+    """Features of low mean left out at the limit that leaves most hits, at a false-discovery rate of one half (the stand-in groups hardly differ)."""
+    out = outliers.independent_filter(_three_rooms(spark, sf).withColumn("coefficient", F.lit("room")), alpha=0.5)
+    out = _r(_r(out, 4, "base_mean", "limit"), 5, "p_value", "padj")
+    return out.select("feature_id", "base_mean", F.col("limit").alias("mean_limit"), "p_value", "padj")
+
+
+@query("m10_without_outliers")
+def m10_replaced(spark, sf):
+    design, names = diffabund.factor_design(standin.course_meta(spark, sf), "room", REGIONS)
+    out = outliers.wald_without_outliers(standin.course(spark, sf), design, names, chunk=64)
+    return _r(out, 5, "log2fc", "lfc_se", "padj").select("feature_id", "coefficient", "log2fc", "lfc_se", "padj", "replaced", "unclear")
+
+
+@query("m13_regularised_log")
+def m13_regularised(spark, sf):
+    design, names = diffabund.factor_design(standin.course_meta(spark, sf), "room", REGIONS)
+    return _r(regularised.regularised_log(standin.course(spark, sf), design, len(names), chunk=64), 6, "value")
+
+
 @query("m11_chunked_ratio_tests")
 def m11_chunked(spark, sf):
     meta = standin.course_meta(spark, sf)
