@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.columns import null_unclassified
 from tallyweave.operators import amplicon as A
 from tallyweave.operators import denoising, descent
-from tallyweave.plans import standin
+from tallyweave.plans import reads_to_counts, standin
 from tallyweave.plans.registry import query
 from tallyweave.plans.standin import table, with_
 from tallyweave.session import parallel_scan
@@ -279,3 +279,57 @@ def r9_descent(spark, sf):
     asked = asked.union(spark.createDataFrame([("short", "abc")], "id string, seq string"))  # too short for a k-mer
     known = parallel_scan(table(spark, sf, "documents")).select("lang", "source", F.col("text").alias("seq"))
     return descent.classify(asked, known, ["lang", "source"])
+
+
+# -- from reads to a bundle ----------------------------------------------------------------------------------------
+
+_TRIMMED = with_("reads").replace("WITH ", "WITH RECURSIVE ", 1) + """, t0 AS (SELECT *, list_position(list_transform(qual, lambda q: q <= 2), true) AS low FROM reads),
+    t1 AS (SELECT *, CASE WHEN low > 0 THEN low - 1 ELSE length(seq) END AS size, CASE mate WHEN 1 THEN 12 ELSE 10 END AS target FROM t0),
+    t2 AS (SELECT sample_id, read_id, mate, substr(seq, 1, target) AS seq, qual[1:target] AS qual FROM t1 WHERE size > 0 AND size >= target),
+    t3 AS (SELECT * FROM t2 WHERE list_sum(list_transform(qual, lambda q: pow(10.0e0, q / -10.0e0))) <= 2.0e0),
+    kept AS (SELECT * FROM t3 WHERE (sample_id, read_id) IN (SELECT (sample_id, read_id) FROM t3 GROUP BY sample_id, read_id HAVING count(*) = 2))"""
+
+
+def _corrected_sql(mate: int) -> str:
+    return _parents_of(mate).replace("FROM reads", "FROM kept") + f""",
+    chain{mate} AS (SELECT seq, parent AS variant FROM parents{mate} UNION ALL SELECT c.seq, p.parent FROM chain{mate} c JOIN parents{mate} p ON p.seq = c.variant),
+    roots{mate} AS (SELECT seq, variant FROM chain{mate} WHERE variant NOT IN (SELECT seq FROM parents{mate})),
+    m{mate} AS (SELECT sample_id, read_id, coalesce(variant, seq) AS seq FROM kept LEFT JOIN roots{mate} USING (seq) WHERE mate = {mate})"""
+
+
+_PROCESSED = _TRIMMED + _corrected_sql(1) + _corrected_sql(2) + """,
+    pr AS (SELECT a.sample_id, a.read_id, a.seq AS f, reverse(translate(b.seq, 'ACGT', 'TGCA')) AS r FROM m1 a JOIN m2 b USING (sample_id, read_id)),
+    ov AS (SELECT *, list_max(list_filter(range(4, least(length(f), length(r)) + 1), lambda o: right(f, CAST(o AS INTEGER)) = left(r, CAST(o AS INTEGER)))) AS o FROM pr),
+    merged AS (SELECT sample_id, f || substr(r, CAST(o AS INTEGER) + 1) AS seq FROM ov WHERE o IS NOT NULL),
+    u AS (SELECT sample_id, seq, count(*) AS count FROM merged WHERE length(seq) BETWEEN 14 AND 18 GROUP BY 1, 2)""" + _FLAGS.removeprefix(_UNIQUES) + """,
+    votes AS (SELECT w.seq, count(hit.seq) AS flagged, count(*) AS samples FROM w LEFT JOIN hit ON w.sample_id = hit.sample_id AND w.seq = hit.seq GROUP BY 1),
+    final AS (SELECT * FROM u WHERE seq NOT IN (SELECT seq FROM votes WHERE flagged > 0 AND (flagged >= samples OR flagged >= (samples - 1) * 0.9)))"""
+
+
+def _processed(spark, sf):
+    return reads_to_counts.process(standin.reads(spark, sf), {1: 12, 2: 10}, 2.0, min_overlap=4, lengths=(14, 18))
+
+
+@query("r7_reads_to_counts", _PROCESSED + " SELECT * FROM final")
+def r7_counts(spark, sf):
+    return _processed(spark, sf).counts
+
+
+@query(
+    "r7_reads_tracked",
+    _PROCESSED + """ SELECT sample_id, CAST(sum(i) AS BIGINT) AS input, CAST(sum(k) AS BIGINT) AS filtered, CAST(sum(m) AS BIGINT) AS merged,
+    CAST(sum(b) AS BIGINT) AS banded, CAST(sum(c) AS BIGINT) AS nonchimeric FROM (
+      SELECT sample_id, 1 AS i, 0 AS k, 0 AS m, 0 AS b, 0 AS c FROM reads WHERE mate = 1 UNION ALL SELECT sample_id, 0, 1, 0, 0, 0 FROM kept WHERE mate = 1
+      UNION ALL SELECT sample_id, 0, 0, 1, 0, 0 FROM merged UNION ALL SELECT sample_id, 0, 0, 0, count, 0 FROM u UNION ALL SELECT sample_id, 0, 0, 0, 0, count FROM final)
+    GROUP BY 1""",
+)
+def r7_track(spark, sf):
+    return _processed(spark, sf).track
+
+
+@query("r9_reads_to_bundle")
+def r9_bundle(spark, sf):
+    docs = parallel_scan(table(spark, sf, "documents"))
+    meta = docs.groupBy(F.col("source").alias("sample_id")).agg(F.count(F.lit(1)).alias("documents"))
+    known = docs.select("lang", "source", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    return reads_to_counts.bundle(_processed(spark, sf), meta, known, ["lang", "source"]).melt()
