@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.ranking import benjamini_hochberg
+from tallyweave.operators import distance, permanova
 from tallyweave.operators.cleaning import add_baseline
 from tallyweave.operators.summaries import consecutive, running_total
+from tallyweave.session import stored
 
 
 def _reference_first(is_reference_1: Column) -> dict[str, Column]:
@@ -75,3 +77,15 @@ def cumulative_change(pairwise: DataFrame, days: Sequence[int]) -> DataFrame:
     return out.withColumn("period", F.concat_ws(" vs ", F.col("day1").cast("string"), F.col("day2").cast("string")))
 
 
+
+
+def rarefied_course(
+    abund: DataFrame, meta: DataFrame, group: str, time: str, depth: int | None = None, iterations: int = 100, permutations: int = 9999, seed: int = 1
+) -> DataFrame:
+    """The pairwise table of all (group, time) sets on distances averaged over ``iterations`` rarefactions; every view above takes it.
+
+    Reads are drawn cell by cell and permuted labels are computed by the samples themselves, so neither orders a whole sample or comparison.
+    """
+    averaged = stored(distance.average_rarefied_distance_by_cells(abund, depth, iterations, seed), "course-distances")
+    known = meta.join(abund.select("sample_id").distinct(), "sample_id", "left_semi")
+    return stored(permanova.pairwise_permanova(averaged, known, group, time, permutations=permutations, seed=seed, walk=True), "course-pairs")

@@ -287,6 +287,14 @@ def d7_cumulative(spark, sf):
     return _r(_r(out, 6, "f_model", "cumulative_f"), 9, "p_value", "fdr")
 
 
+@query("d7_rarefied_course")
+def d7_rarefied(spark, sf):
+    """From counts to the running change of each room: 100 rarefactions, their mean distances, 9,999 permutations of every pair of sets."""
+    pairs = timecourse.rarefied_course(standin.course(spark, sf), standin.course_meta(spark, sf), "room", "day", seed=6)
+    out = timecourse.cumulative_change(pairs, list(range(7))).drop("r2")
+    return _r(_r(out, 6, "f_model", "cumulative_f"), 9, "p_value", "fdr")
+
+
 @query("d7_report_table")
 def d7_report(spark, sf):
     """The within-day table as reported: two significant digits."""
