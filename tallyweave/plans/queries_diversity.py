@@ -295,7 +295,17 @@ def d7_rarefied(spark, sf):
     return _r(_r(out, 6, "f_model", "cumulative_f"), 9, "p_value", "fdr")
 
 
-@query("d7_report_table")
+def _two_digits_sql(x: str) -> str:
+    up, down = f"pow(10.0e0, greatest(1 - floor(log10(abs({x}))), 0))", f"pow(10.0e0, greatest(floor(log10(abs({x}))) - 1, 0))"
+    return f"CASE WHEN {x} = 0 THEN 0.0e0 WHEN {x} IS NOT NULL THEN round({x} * {up} / {down}) / {up} * {down} END AS {x}"
+
+
+@query(
+    "d7_report_table",
+    _PAIRWISE + ", v AS (" + _bh_sql("day1 = day2") + """),
+    nine AS (SELECT pairs, round(f_model, 9) AS f_model, round(r2, 9) AS r2, round(p_value, 9) AS p_value, round(fdr, 9) AS fdr FROM v)
+    SELECT pairs, """ + ", ".join(_two_digits_sql(x) for x in ("f_model", "r2", "p_value", "fdr")) + " FROM nine",
+)
 def d7_report(spark, sf):
     """The within-day table as reported: two significant digits."""
     out = timecourse.within_day(_pairwise(spark, sf)).select("pairs", "f_model", "r2", "p_value", "fdr")
