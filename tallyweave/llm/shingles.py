@@ -4,8 +4,8 @@ Words and shingles are those of the fingerprints in ``simhash``; a set holds the
 exact but for collisions of 64-bit hashes.
 
 * Prefix filter: tokens have one order, and two sets of sizes n and m with a similarity of t or more share one of their first
-  n - ceil(t n) + 1 and m - ceil(t m) + 1 tokens. Tokens that are frequent in a sample of the documents come last, all
-  others by their hash; the order only steers the work, any order gives the same result.
+  n - ceil(t n) + 1 and m - ceil(t m) + 1 tokens. A sketch of ``2**_SKETCH_BITS`` counters holds how many sets of all
+  documents have each token; frequent ones come last, equal ranks by hash. The order only steers the work, any gives the same result.
 * Length filter: t n <= m. Positional filter: behind a first common token at places i and j at most 1 + min(n - i, m - j)
   tokens can be shared, and t / (1 + t) (n + m) must be.
 * Links are wanted for components only. So in star rounds the members of a prefix token meet one of them, which makes as
@@ -27,27 +27,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import arrow_map, small_side, stored
+from tallyweave.llm.common import arrow_map, drop, small_side, stored
 from tallyweave.llm.components import components
 from tallyweave.llm.simhash import fingerprint_of, shingle_hashes
 
-_SAMPLE, _OFTEN, _HOT = 16, 16, 1 << 16
+_SKETCH_BITS, _SHIFT = 18, 20
 _ROUNDS, _CLASSES = 4, 1024
 
 
-def _hot_tokens(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens, ascending, that many documents of a sample hold, and ranks that grow with their frequency."""
+def _class_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(_SHIFT) & np.uint64((1 << _SKETCH_BITS) - 1)).astype(np.int64)
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
-        tok, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(n, pa.int64())], names=["tok", "n"])
 
-    sample = rows.filter(F.pmod("key", F.lit(_SAMPLE)) == 0).select("text")
-    counted = arrow_map(sample, each, "tok bigint, n bigint").groupBy("tok").agg(F.sum("n").alias("n")).filter(F.col("n") >= _OFTEN)
-    # the bound is on what reaches the driver; tokens beyond it are ordered by their hash
-    hot = [(r["tok"] % (1 << 64), r["n"].bit_length()) for r in counted.orderBy(F.desc("n"), "tok").limit(_HOT).collect()]
-    return np.array(sorted(t for t, _ in hot), np.uint64), np.array([n for _, n in sorted(hot)], np.int64)
+def _ranks(rows: DataFrame, words: int) -> np.ndarray:
+    """For each class of tokens a rank that grows with the number of sets, of all rows, that hold its tokens."""
+    size = 1 << _SKETCH_BITS
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, np.int64)
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
+            held += np.bincount(_class_of(np.concatenate([np.zeros(0, np.uint64), *sets])), minlength=size)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], names=["class", "n"])
+
+    counted = rows.select("text").mapInArrow(each, "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    ranks = np.zeros(size, np.uint8)
+    # bit lengths; frexp is exact below 2**53
+    ranks[counted.column("class").to_numpy()] = np.frexp(counted.column("n").to_numpy().astype(np.float64))[1]
+    return ranks
 
 
 def _parity(tokens: np.ndarray) -> bytes:
@@ -57,12 +65,12 @@ def _parity(tokens: np.ndarray) -> bytes:
 
 def _sets(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """key, fp, sig (hash of the set), n (its size), parity, prefix for each row."""
-    shared = rows.sparkSession.sparkContext.broadcast(_hot_tokens(rows, words))
+    shared = rows.sparkSession.sparkContext.broadcast(_ranks(rows, words))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         import xxhash
 
-        hot, ranks = shared.value
+        ranks = shared.value
         fps, sigs, sizes, parities, prefixes = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             hashes = shingle_hashes(text, words)
@@ -72,9 +80,7 @@ def _sets(rows: DataFrame, words: int, similarity: float) -> DataFrame:
             sigs.append(xxhash.xxh64_intdigest(tokens.astype("<u8").tobytes(), 42))
             sizes.append(len(tokens))
             parities.append(_parity(tokens))
-            if len(hot) and length:
-                at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-                tokens = tokens[np.argsort(np.where(hot[at] == tokens, ranks[at], 0), kind="stable")]
+            tokens = tokens[np.argsort(ranks[_class_of(tokens)], kind="stable")]
             prefixes.append(tokens[:length].view(np.int64))
         columns = [batch.column("key"), pa.array(fps, pa.int64()), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(parities, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, names=["key", "fp", "sig", "n", "parity", "prefix"])
@@ -84,6 +90,7 @@ def _sets(rows: DataFrame, words: int, similarity: float) -> DataFrame:
 
 def _similar(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, words: int, similarity: float, passing: list[str]) -> DataFrame:
     """Those of the pairs a, b of sets whose similarity, from whole sets, is high enough."""
+    own: list[str] = []
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column("text").to_pylist()]
@@ -106,14 +113,16 @@ def _similar(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, words: int, s
 
     x, y = (firsts.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(p)) for c, p in ("ap", "bq"))
     met = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "p", "q")
-    pairs = stored(arrow_map(met, likely, "a bigint, b bigint"), "near-likely", passing)
+    pairs = stored(arrow_map(met, likely, "a bigint, b bigint"), "near-likely", own)
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(firsts, "sig")
-    wanted = stored(wanted.select("sig", F.col("key").alias("k")), "near-wanted", passing)
+    wanted = stored(wanted.select("sig", F.col("key").alias("k")), "near-wanted", own)
     texts = rows.join(small_side(wanted, 32), F.col("key") == F.col("k")).select("sig", "text")
     # rows that repeat a document give the same set
-    sets = stored(arrow_map(texts, tokens, "sig bigint, t array<bigint>").dropDuplicates(["sig"]), "near-whole", passing)
+    sets = stored(arrow_map(texts, tokens, "sig bigint, t array<bigint>").dropDuplicates(["sig"]), "near-whole", own)
     x, y = (small_side(sets, 16, 8).select(F.col("sig").alias(c), F.col("t").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified, "a bigint, b bigint")
+    found = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified, "a bigint, b bigint"), "near-found", passing)
+    drop(rows.sparkSession, own)
+    return found
 
 
 def _may_match(similarity: float, x: str, y: str) -> Column:
@@ -156,7 +165,7 @@ def links(docs: DataFrame, words: int, similarity: float, passing: list[str]) ->
         pairs = _ordered(met.filter((F.col("x.comp") != F.col("y.comp")) & _may_match(similarity, "x", "y")))
         pairs = stored(pairs if not tried else pairs.join(merged(tried), ["a", "b"], "left_anti"), "near-star", passing)
         tried.append(pairs)
-        found.append(stored(_similar(rows, firsts, pairs, words, similarity, passing), "near-found", passing))
+        found.append(_similar(rows, firsts, pairs, words, similarity, passing))
         left = _open(members, merged(found), passing)
         # pairs of members of different components, counted
         sizes = left.groupBy("tok", "comp").agg(F.count("*").cast("double").alias("m")).groupBy("tok")

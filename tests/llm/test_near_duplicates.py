@@ -1,14 +1,18 @@
 """SimHash by covering masks, and components."""
 
+import collections
 import itertools
 import random
 
 import numpy as np
 import pytest
 from brute import ODD, groups, near_duplicates, simhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tallyweave.llm import shingles
 from tallyweave.llm import simhash as op
+from tallyweave.llm.common import CLEANUP, stored
 from tallyweave.llm.components import components
 
 
@@ -93,6 +97,29 @@ def test_every_pair_of_the_similarity_is_linked(spark, documents, small):
     assert sorted(kept) == sorted(set(want.values()))
 
 
+def test_frequencies_come_from_every_document(spark, documents):
+    phrase = "one phrase that all of these share"
+    texts = [f"{phrase} w{i} x{i} y{i} z{i}" for i in range(40)] + [None, "", "short"]
+    rows = documents(list(enumerate(texts))).select("text").withColumn("text", F.col("text").cast("binary"))
+    want = collections.Counter()
+    for t in texts:
+        for h in {int(x) for x in op.shingle_hashes((t or "").encode(), 5)}:
+            want[int(shingles._class_of(np.array([h], np.uint64))[0])] += 1
+    ranks = shingles._ranks(rows.repartition(3), 5)
+    assert {int(c): int(ranks[c]) for c in np.flatnonzero(ranks)} == {c: n.bit_length() for c, n in want.items()}
+    assert max(want.values()) >= 40 and not shingles._ranks(rows.limit(0), 5).any()
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    before = spark.conf.get(CLEANUP, "false")
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert stored(df, "test-shuffles").count() == 7 and spark.conf.get(CLEANUP, "false") == before
+    shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = sum(b.isShuffle() for b in [x for x in [shuffles.getAllBlocks().apply(i) for i in range(shuffles.getAllBlocks().size())]])
+    stored(df, "test-shuffles")
+    assert sum(b.isShuffle() for b in [shuffles.getAllBlocks().apply(i) for i in range(shuffles.getAllBlocks().size())]) <= left
+
+
 @pytest.mark.parametrize("limit", [512, 2])
 def test_links_of_dense_groups(spark, limit):
     rng = random.Random(5)
