@@ -11,8 +11,9 @@ exact but for collisions of 64-bit hashes.
 * Links are wanted for components only. So in star rounds the members of a prefix token meet one of them, which makes as
   many pairs as members; components form, and in the end members of different components meet. Pairs inside a component
   are never formed, and no limit drops any other pair.
-* Parities of the tokens in 1,024 classes bound the tokens that two sets don't share: most pairs go by them, without
-  whole sets. The similarity of the pairs that remain is computed from whole sets.
+* Parities of the tokens in 1,024 classes, of larger sets in as many as they have tokens or more, bound the tokens that two sets
+  don't share: most pairs go by them, without whole sets. The similarity of the pairs that remain is computed from whole sets.
+* Members of prefix tokens are counted in turns by token, which bounds the disk space of a shuffle.
 
 Texts without words have the empty set and are equal. Rows with equal sets are linked to one of them.
 """
@@ -33,6 +34,7 @@ from tallyweave.llm.simhash import fingerprint_of, shingle_hashes
 
 _SKETCH_BITS, _SHIFT = 18, 20
 _ROUNDS, _CLASSES = 4, 1024
+_TURNS = 4  # a power of two
 
 
 def _class_of(tokens: np.ndarray) -> np.ndarray:
@@ -59,10 +61,19 @@ def _ranks(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def _parity(tokens: np.ndarray) -> bytes:
-    odd = np.bincount((tokens & np.uint64(_CLASSES - 1)).astype(np.int64), minlength=_CLASSES) & 1
+    classes = max(_CLASSES, 1 << len(tokens).bit_length())
+    odd = np.bincount((tokens & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _apart(p: bytes, q: bytes) -> int:
+    """Classes with different parities; the longer one's halves are added until both have equally many."""
+    p, q = sorted((np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)), key=len)
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def _sets(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """key, fp, sig (hash of the set), n (its size), parity, prefix for each row."""
     shared = rows.sparkSession.sparkContext.broadcast(_ranks(rows, words))
@@ -97,10 +108,10 @@ def _similar(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, words: int, s
         return pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "t"])
 
     def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in "pq")
+        apart = np.array([_apart(p, q) for p, q in zip(*(batch.column(c).to_pylist() for c in "pq"))], np.int64)
         n = batch.column("n").to_numpy()
         both = np.ceil(n * (similarity / (1 + similarity)) - 1e-9)
-        return batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= n - 2 * both, pa.bool_()))
+        return batch.select(["a", "b"]).filter(pa.array(apart <= n - 2 * both, pa.bool_()))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,14 +161,19 @@ def links(docs: DataFrame, words: int, similarity: float, passing: list[str]) ->
     sets = stored(_sets(rows, words, similarity), "near-sets", passing)
     firsts = stored(sets.groupBy("sig").agg(F.min("key").alias("key"), F.min("fp").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity")), "near-firsts", passing)
 
-    distinct = sets.dropDuplicates(["sig"]).filter("n > 0")
-    members = distinct.select("sig", "n", F.posexplode("prefix").alias("i", "tok"))
-    counts = members.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
-    members = stored(members.join(counts, "tok"), "near-members", passing)
+    merged = lambda parts: parts[0] if len(parts) == 1 else merged(parts[:-1]).union(parts[-1])
+    own: list[str] = []
+    distinct = stored(sets.filter("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]), "near-distinct", own)
+    members = []
+    for turn in range(_TURNS):
+        some = distinct.select("sig", "n", F.posexplode("prefix").alias("i", "tok")).filter(F.col("tok").bitwiseAND(F.lit(_TURNS - 1)) == turn)
+        counts = some.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
+        members.append(stored(some.join(counts, "tok"), "near-members", passing))
+    drop(docs.sparkSession, own)
+    members = merged(members)
 
     left = members.withColumn("comp", F.col("sig"))
     tried, found = [], []
-    merged = lambda parts: parts[0] if len(parts) == 1 else merged(parts[:-1]).union(parts[-1])
     for turn in range(_ROUNDS):
         rank = F.xxhash64("sig", F.lit(turn))
         head = left.groupBy("tok").agg(F.min(F.struct(rank.alias("r"), "sig", "n", "i", "comp")).alias("y"))

@@ -148,3 +148,15 @@ def test_components_of_paths_and_stars(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert all(found[i] == 0 for i in range(201)) and all(found[x] == 1000 for x in range(1000, 1100)) and found[3000] == 2999
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_parities_of_sets_of_other_sizes():
+    rng = np.random.default_rng(3)
+    tokens = np.unique(rng.integers(0, 2**63, 9000).astype(np.uint64))
+    for a, b in ((900, 1100), (4000, 4400), (8000, 8900)):
+        x, y = tokens[:a], tokens[100:b]
+        assert 0 < shingles._apart(shingles._parity(x), shingles._parity(y)) <= 100 + b - a
+    assert shingles._apart(shingles._parity(tokens[:0]), shingles._parity(tokens[:1])) == 1
+    # large sets that share nothing are told apart; with 1,024 classes they could not be
+    x, y = (shingles._parity(t) for t in (tokens[:4000], tokens[4000:8000]))
+    assert shingles._apart(x, y) > 8000 - 2 * np.ceil(8000 * 0.8 / 1.8)
