@@ -33,6 +33,7 @@ class Block:
 
     def __init__(self, names: list[str], runs: dict[int, tuple[np.ndarray, ...]]):
         self.names, self.runs = names, runs
+        self.labels: dict = {}
 
     @staticmethod
     def pack(rows: pa.Table) -> bytes:
@@ -184,21 +185,21 @@ Tile = Callable[[Block, Block, bool], Iterator[dict[str, pa.Array]]]
 def _met(left: DataFrame, right: DataFrame | None, blocks: tuple[int, int], keys: Sequence[str], tile: Tile, schema: str) -> DataFrame:
     """Every block with every other and itself, or with those of ``right``; ``tile`` makes rows of two blocks.
 
-    Keys and slices are compared by order, not by equality: a join by equality would bring all blocks of a key into one task.
+    A column ``labels`` of pickled data goes with its block. Keys and slices are compared by order, not by equality: a join by equality would bring all blocks of a key into one task.
     """
     same = right is None
     key = F.to_json(F.struct(*keys)) if keys else F.lit("")
     sides = []
     for df, n, s in ((left, blocks[0], "a"), (left if same else right, blocks[1], "b")):
         df = df.repartitionByRange(min(n, _PARTS), "_block")
-        sides.append(df.select(*(keys if s == "a" else ()), key.alias(f"_key{s}"), F.col("_block").alias(f"_block{s}"), F.col("_slice").alias(f"_slice{s}"), F.col("data").alias(f"data{s}")))
+        sides.append(df.select(*(keys if s == "a" else ()), key.alias(f"_key{s}"), F.col("_block").alias(f"_block{s}"), F.col("_slice").alias(f"_slice{s}"), F.col("data").alias(f"data{s}"), (F.col("labels") if "labels" in df.columns else F.lit(None).cast("binary")).alias(f"labels{s}")))
     a, b = sides
     on = (F.col("_slicea") <= F.col("_sliceb")) & (F.col("_slicea") >= F.col("_sliceb"))
     on &= (F.col("_keya") <= F.col("_keyb")) & (F.col("_keya") >= F.col("_keyb"))
     if same:
         ahead = F.pmod(F.col("_blockb") - F.col("_blocka"), F.lit(blocks[0])) * 2
         on &= (ahead < blocks[0]) | ((ahead == blocks[0]) & (F.col("_blocka") < F.col("_blockb")))
-    pairs = a.join(b, on).select(*keys, (F.lit(same) & (F.col("_blocka") == F.col("_blockb"))).alias("_own"), "dataa", "datab")
+    pairs = a.join(b, on).select(*keys, (F.lit(same) & (F.col("_blocka") == F.col("_blockb"))).alias("_own"), "dataa", "datab", "labelsa", "labelsb")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,6 +207,9 @@ def _met(left: DataFrame, right: DataFrame | None, blocks: tuple[int, int], keys
                 own = batch["_own"][i].as_py()
                 first = Block.unpack(batch["dataa"][i].as_py())
                 second = first if own else Block.unpack(batch["datab"][i].as_py())
+                for side, labels in ((first, "labelsa"), (second, "labelsb")):
+                    data = batch[labels][i].as_py()
+                    side.labels = pickle.loads(data) if data else {}
                 for cols in tile(first, second, own):
                     n = len(next(iter(cols.values())))
                     fixed = {k: pa.repeat(batch[k][i], n) for k in keys}

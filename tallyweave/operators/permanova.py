@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.draws import draw_key
 from tallyweave.functions.ranking import bonferroni, global_index, pairs_of_groups
-from tallyweave.session import checkpointed, spread
+from tallyweave.operators import distance
+from tallyweave.session import checkpointed, spread, stored
 
 
 def _permuted_labels(members: DataFrame, sizes: DataFrame, permutations: int, seed, per_array: int) -> DataFrame:
@@ -197,6 +200,12 @@ def permanova(
         )
         .applyInPandas(_within_sums(per_array), "comparison string, perm int, code int, ss double")
     )
+    total = pairs.groupBy("comparison").agg(F.sum("d2").alias("sst"))
+    return _tested(sums, total, sizes, overall, permutations)
+
+
+def _tested(sums: DataFrame, total: DataFrame, sizes: DataFrame, overall: DataFrame, permutations: int) -> DataFrame:
+    """The rows of ``permanova`` from squared distances inside labels, ``sums(comparison, perm, code, ss)``, and of all pairs, ``total(comparison, sst)``."""
     within = (
         sums.groupBy("comparison", "perm", "code")
         .agg(F.sum("ss").alias("ss"))
@@ -204,7 +213,7 @@ def permanova(
         .groupBy("comparison", "perm")
         .agg(F.sum(F.col("ss") / F.col("n_g")).alias("ssw"))
     )
-    total = pairs.groupBy("comparison").agg(F.sum("d2").alias("sst")).join(overall, "comparison")
+    total = total.join(overall, "comparison")
     total = total.withColumn("sst", F.col("sst") / F.col("n"))
     ssa = F.col("sst") - F.col("ssw")
     f = F.try_divide(
@@ -228,6 +237,116 @@ def permanova(
     )
 
 
+_PERMS_PER_TASK = 64
+
+
+def _label_blocks(members: DataFrame, blocks: int, permutations: int, seed) -> DataFrame:
+    """``(_block, labels)``: for the samples of a block, pickled ``{comparison: (samples, codes by permutation)}``.
+
+    The labels of ``_permuted_labels``. A task orders the samples of one comparison for some permutations at a time, so only
+    codes of a byte or two are written.
+    """
+    chunks = F.sequence(F.lit(0), F.lit(permutations // _PERMS_PER_TASK))
+    place = F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int").alias("_block")
+    rows = members.select("comparison", "sample_id", "code", place, F.explode(chunks).alias("_chunk"))
+
+    def deal(group: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        comparison, chunk = (g.as_py() for g in group)
+        names, code, block = rows["sample_id"].to_pylist(), rows["code"].to_numpy().astype(np.int64), rows["_block"].to_numpy()
+        ends = np.cumsum(np.bincount(code)[1:])
+        first, last = chunk * _PERMS_PER_TASK, min((chunk + 1) * _PERMS_PER_TASK, permutations + 1)
+        codes = np.empty((len(names), last - first), np.min_scalar_type(len(ends) + 1))
+        for k, perm in enumerate(range(first, last)):
+            if perm:
+                rank = np.empty(len(names), np.int64)
+                start = f"{seed}/{perm}/"
+                keys = np.array([hashlib.md5((start + s).encode()).hexdigest() for s in names], "S32")
+                rank[np.argsort(keys)] = np.arange(1, len(names) + 1)
+                codes[:, k] = np.searchsorted(ends, rank, side="left") + 1
+            else:
+                codes[:, k] = code
+        out = []
+        for b in np.unique(block):
+            own = np.flatnonzero(block == b)
+            out.append((int(b), pickle.dumps(([names[i] for i in own], codes[own]), protocol=5)))
+        n = len(out)
+        return pa.table({
+            "comparison": pa.array([comparison] * n, pa.string()),
+            "_chunk": pa.array([chunk] * n, pa.int32()),
+            "_block": pa.array([b for b, _ in out], pa.int32()),
+            "data": pa.array([d for _, d in out], pa.binary()),
+        })
+
+    def gather(group: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        parts: dict[str, list] = {}
+        for r in sorted(rows.to_pylist(), key=lambda r: (r["comparison"], r["_chunk"])):
+            names, codes = pickle.loads(r["data"])
+            order = np.argsort(np.array(names, dtype=object))
+            own = parts.setdefault(r["comparison"], [[names[i] for i in order]])
+            own.append(codes[order])
+        labels = {c: (own[0], np.hstack(own[1:])) for c, own in parts.items()}
+        return pa.table({"_block": pa.array([group[0].as_py()], pa.int32()), "labels": pa.array([pickle.dumps(labels, protocol=5)], pa.binary())})
+
+    dealt = spread(rows, "comparison", "_chunk").groupBy("comparison", "_chunk").applyInArrow(deal, "comparison string, _chunk int, _block int, data binary")
+    return dealt.groupBy("_block").applyInArrow(gather, "_block int, labels binary")
+
+
+def _sums_tile(a: distance.Block, b: distance.Block, own: bool) -> Iterator[dict[str, pa.Array]]:
+    """Squared distances inside each label for every permutation; those of all pairs come as permutation -1."""
+    place_a, place_b = ({s: i for i, s in enumerate(x.names)} for x in (a, b))
+    met = sorted(a.labels.keys() & b.labels.keys())
+    if not met:
+        return
+    d2 = (1 - 2 * a.shared(b, 0).astype(np.int64) / a.both(b, 0)) ** 2
+    if own:
+        d2 = np.triu(d2, 1)
+    for comparison in met:
+        (names_a, codes_a), (names_b, codes_b) = a.labels[comparison], b.labels[comparison]
+        part = d2[np.ix_([place_a[s] for s in names_a], [place_b[s] for s in names_b])]
+        perms = codes_a.shape[1]
+        perm, code, ss = [np.array([-1])], [np.array([0])], [np.array([part.sum()])]
+        for c in np.union1d(codes_a, codes_b):
+            for lo in range(0, perms, 256):
+                la, lb = codes_a[:, lo : lo + 256] == c, codes_b[:, lo : lo + 256] == c
+                perm.append(np.arange(lo, lo + la.shape[1]))
+                code.append(np.full(la.shape[1], int(c)))
+                ss.append((la * (part @ lb.astype(float))).sum(axis=0))
+        out = [np.concatenate(x) for x in (perm, code, ss)]
+        yield {
+            "comparison": pa.array([comparison] * len(out[0]), pa.string()),
+            "perm": pa.array(out[0].astype(np.int32)),
+            "code": pa.array(out[1].astype(np.int32)),
+            "ss": pa.array(out[2]),
+        }
+
+
+def permanova_of_counts(abund: DataFrame, members: DataFrame, permutations: int = 999, seed: int | str = 1, block: int = 128) -> DataFrame:
+    """``permanova`` on the Bray-Curtis distances of counts: tiles of distances meet permuted labels and are never stored.
+
+    Tables whose samples are cut into slices and members listed twice in a comparison go by stored distances.
+    """
+    abund = distance._stored_counts(abund.filter(F.col("count") > 0))
+    listed = members.select(F.col("comparison").cast("string").alias("comparison"), "sample_id", F.col("grp").cast("string").alias("grp"))
+    samples = checkpointed(abund.select(F.coalesce(F.col("sample_id").cast("string"), F.lit("None")).alias("sample_id")).distinct())
+    own = checkpointed(listed.join(samples, "sample_id", "left_semi"))
+    blocks, slices = distance._layout(abund, [], block)
+    twice = own.groupBy("comparison", "sample_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    odd = own.filter(F.col("comparison").isNull() | F.col("grp").isNull())
+    if slices > 1 or samples.count() < 2 or not odd.isEmpty() or not twice.isEmpty():
+        return permanova(checkpointed(distance.bray_curtis(abund, layout=(blocks, slices))), members, permutations, seed)
+    sizes = own.groupBy("comparison", "grp").agg(F.count(F.lit(1)).alias("n_g"))
+    sizes = checkpointed(sizes.withColumn("code", F.row_number().over(Window.partitionBy("comparison").orderBy("grp"))))
+    overall = sizes.groupBy("comparison").agg(F.sum("n_g").alias("n"), F.count(F.lit(1)).alias("g"))
+    labels = _label_blocks(own.join(sizes.select("comparison", "grp", "code"), ["comparison", "grp"]), blocks, permutations, seed)
+    packed = distance._packed(abund, [], blocks, 1, distance._code_seed(abund))
+    packed = stored(packed.join(labels, "_block"), "labelled-blocks")
+    kind = "comparison string, perm int, code int, ss double"
+    sums = stored(distance._met(packed, None, (blocks, blocks), [], _sums_tile, kind).groupBy("comparison", "perm", "code").agg(F.sum("ss").alias("ss")), "sums")
+    # a comparison of a single sample has no distance
+    total = sums.filter("perm < 0").join(overall.filter("n > 1"), "comparison").select("comparison", F.col("ss").alias("sst"))
+    return _tested(sums.filter("perm >= 0"), total, sizes, overall, permutations)
+
+
 def _measured(dist: DataFrame) -> DataFrame:
     """The samples that have distances."""
     return dist.select(F.explode(F.array("sample_a", "sample_b")).alias("sample_id")).distinct()
@@ -271,10 +390,18 @@ def stars(p: str) -> Column:
     )
 
 
-def pairwise_permanova(dist: DataFrame, meta: DataFrame, *group: str, permutations: int = 999, seed: int | str = 1, walk: bool = False) -> DataFrame:
-    """A permutation test for every pair of groups, with Bonferroni-adjusted p-values over all pairs."""
+def pairwise_permanova(
+    dist: DataFrame | None, meta: DataFrame, *group: str, permutations: int = 999, seed: int | str = 1, walk: bool = False, abund: DataFrame | None = None
+) -> DataFrame:
+    """A permutation test for every pair of groups, with Bonferroni-adjusted p-values over all pairs.
+
+    Without ``dist`` the Bray-Curtis distances of ``abund`` are used as they arise.
+    """
     pairs, members = pairwise_members(meta, *group)
-    tested = checkpointed(permanova(dist, members, permutations, seed, walk=walk))
+    if dist is None:
+        tested = checkpointed(permanova_of_counts(abund, members, permutations, seed))
+    else:
+        tested = checkpointed(permanova(dist, members, permutations, seed, walk=walk))
     out = bonferroni(tested, "p_value", out="p_adjusted").withColumn("sig", stars("p_adjusted"))
     return pairs.join(out, "comparison").drop("comparison").withColumnRenamed("name", "pairs")
 

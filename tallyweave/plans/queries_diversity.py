@@ -179,7 +179,7 @@ def _permanova_sql(members: str, permutations: int, seed: str) -> str:
 )
 def d5(spark, sf):
     abund, meta = standin.dense(spark, sf), standin.meta(spark, sf)
-    out = permanova.permanova(checkpointed(distance.bray_curtis(abund)), permanova.single_comparison(meta, "grp"), permutations=999, seed=5)
+    out = permanova.permanova_of_counts(abund, permanova.single_comparison(meta, "grp"), permutations=999, seed=5)
     return _r(_r(out, 7, "sums_of_sqs", "r2"), 6, "f_model").withColumn("p_value", F.round("p_value", 9))
 
 
