@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.countset import CountSet
-from tallyweave.operators import diffabund, distance, diversity, models, ordination, permanova, rarefaction
+from tallyweave.operators import diffabund, diversity, models, ordination, permanova, rarefaction
 from tallyweave.session import checkpointed
 
 
@@ -40,8 +40,7 @@ def explore(
         points = ordination.ordinate(rarefaction.rarefy(cs.abund, seed=f"{seed}/ordination"))
         out["ordination"] = ordination.centroids(points.join(cs.meta, "sample_id"), [variable], ["axis1", "axis2"])
     if "permanova" in parts:
-        dist = checkpointed(distance.bray_curtis(cs.abund))
-        out["permanova"] = permanova.pairwise_permanova(dist, cs.meta, variable, permutations=permutations, seed=seed)
+        out["permanova"] = permanova.pairwise_permanova(None, cs.meta, variable, permutations=permutations, seed=seed, abund=cs.abund)
     if "alpha" in parts or "alpha_model" in parts:
         thin = rarefaction.rarefy(cs.abund, seed=f"{seed}/alpha")
         out["alpha"] = diversity.richness(thin).join(cs.meta, "sample_id", "left")
